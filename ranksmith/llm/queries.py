@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
 from ranksmith.llm.groups import match_groups
+from ranksmith.llm.leaks import leaked_items
 from ranksmith.session import table
 
 
@@ -13,6 +14,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return match_groups(table(spark, d, "match_links"))
 
 
-QUERIES = {"p1_found": p1_found}
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_leaks": p6_leaks}
 
 ORACLE: dict[str, str] = {}
