@@ -7,6 +7,7 @@ from pyspark.sql import functions as F  # noqa: F401
 
 from ranksmith.llm.groups import match_groups
 from ranksmith.llm.leaks import leaked_items
+from ranksmith.llm.votes import CommunityModel, luce_strengths, stronger_than
 from ranksmith.session import table
 
 
@@ -22,6 +23,26 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_leaks(spark, d).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_leaks": p6_leaks}
+def p4_strengths(spark: SparkSession, d: str) -> DataFrame:
+    return luce_strengths(table(spark, d, "annotated_pairs"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return stronger_than(p4_strengths(spark, d), table(spark, d, "anchor_items"))
+
+
+def p5_consensus(spark: SparkSession, d: str) -> DataFrame:
+    return CommunityModel(table(spark, d, "annotated_pairs")).consensus()
+
+
+def p5_annotators(spark: SparkSession, d: str) -> DataFrame:
+    return CommunityModel(table(spark, d, "annotated_pairs")).reliability()
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return CommunityModel(table(spark, d, "annotated_pairs")).unreliable()
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_strengths": p4_strengths, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_annotators": p5_annotators, "p6_found": p6_found, "p6_leaks": p6_leaks}
 
 ORACLE: dict[str, str] = {}
