@@ -7,6 +7,7 @@ from pyspark.sql import functions as F  # noqa: F401
 
 from ranksmith.llm.groups import match_groups
 from ranksmith.llm.leaks import leaked_items
+from ranksmith.llm.mixing import Mix
 from ranksmith.llm.votes import CommunityModel, luce_strengths, stronger_than
 from ranksmith.session import table
 
@@ -43,6 +44,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return CommunityModel(table(spark, d, "annotated_pairs")).unreliable()
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_strengths": p4_strengths, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_annotators": p5_annotators, "p6_found": p6_found, "p6_leaks": p6_leaks}
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return Mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).rows
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return Mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).report
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_shares(spark, d).where("short").select("source")
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_strengths": p4_strengths, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_annotators": p5_annotators, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares}
 
 ORACLE: dict[str, str] = {}
