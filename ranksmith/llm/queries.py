@@ -8,6 +8,7 @@ from pyspark.sql import functions as F  # noqa: F401
 from ranksmith.llm.groups import match_groups
 from ranksmith.llm.leaks import leaked_items
 from ranksmith.llm.mixing import Mix
+from ranksmith.llm.quality import Quality
 from ranksmith.llm.votes import CommunityModel, luce_strengths, stronger_than
 from ranksmith.session import table
 
@@ -56,6 +57,22 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_shares(spark, d).where("short").select("source")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_strengths": p4_strengths, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_annotators": p5_annotators, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares}
+def _quality(spark: SparkSession, d: str) -> Quality:
+    return Quality(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return _quality(spark, d).statistics.drop("row")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _quality(spark, d).scores()
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _quality(spark, d).not_prose()
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_strengths": p4_strengths, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_annotators": p5_annotators, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_statistics": p8_statistics}
 
 ORACLE: dict[str, str] = {}
