@@ -124,6 +124,8 @@ class Quality:
 
     def __init__(self, docs: DataFrame, common_words: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"):
         self.doc_id = doc_id
+        # As many as there are word lists.
+        self.languages = [r.l for r in common_words.where("lang IS NOT NULL AND word IS NOT NULL").select(F.lower("lang").alias("l")).distinct().collect()]
         self.disk = Scratch(docs.sparkSession, "quality")
         x = text_statistics(docs, common_words, doc_id, text, lang)
         self.statistics = self.disk.save(x.withColumn("row", F.monotonically_increasing_id()))
@@ -156,7 +158,9 @@ class Quality:
         """The ids of outliers of which more than half of the characters are not running prose.
 
         A document in the middle of every statistic scores 4.2, six times ln 2; from 6 on it lies out to some
-        side, and the exact check of its prose share follows. Texts without a word are in no language prose or not: they are not given.
+        side, and the exact check of its prose share follows. A document whose language isn't known has no ranks to go by and is
+        checked too. Texts without a word are neither prose nor anything else: they are not given.
         """
-        x = self.scores().where((F.col("outlier_score") >= least_score) & (F.col("prose_share") < prose))
+        out = (F.col("outlier_score") >= least_score) | ~F.col("lang").isin(self.languages)
+        x = self.scores().where(out & (F.col("prose_share") < prose))
         return x.where("n_words > 0").select(self.doc_id)
