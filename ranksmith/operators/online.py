@@ -80,8 +80,10 @@ def _league(data: DataFrame):
 
 
 def duels(games: DataFrame) -> DataFrame:
-    """1v1 games as payloads: names, sign of the margin, its size, and the count."""
-    if games.where((F.size("side1") != 1) | (F.size("side2") != 1)).limit(1).count():
+    """1v1 games as payloads: names, sign of the margin, its size, and the count. In a stream other games are left out."""
+    if games.isStreaming:
+        games = games.where((F.size("side1") == 1) & (F.size("side2") == 1))
+    elif games.where((F.size("side1") != 1) | (F.size("side2") != 1)).limit(1).count():
         raise InvalidInput("only games of one player a side; teams are for weng-lin")
     x = games.where(F.col("side1")[0].isNotNull() & F.col("side2")[0].isNotNull() & finite(F.col("margin").cast("double")) & finite(F.col("weight").cast("double")))
     fields = F.struct(F.col("side1")[0].alias("a"), F.col("side2")[0].alias("b"), F.col("margin").cast("double").alias("m"), F.col("weight").cast("double").alias("w"))
@@ -192,7 +194,10 @@ class WengLin(Fold):
     def payload(self, data: DataFrame) -> DataFrame:
         bad = F.exists("teams", lambda t: t["players"].isNull() | (F.size(t["players"]) == 0))
         everyone = F.flatten(F.transform("teams", lambda t: t["players"]))
-        if data.where((F.size("teams") < 2) | bad | (F.size(F.array_distinct(everyone)) < F.size(everyone))).limit(1).count():
+        broken = (F.size("teams") < 2) | bad | (F.size(F.array_distinct(everyone)) < F.size(everyone))
+        if data.isStreaming:
+            data = data.where(~broken)
+        elif data.where(broken).limit(1).count():
             raise InvalidInput("a match needs two teams, none empty, and no player twice")
         return data.select(_league(data).alias("league"), "seq", F.to_json(F.struct(F.transform("teams", lambda t: F.struct(t["rank"].alias("r"), t["players"].alias("p"))).alias("t"))).alias("payload"))
 
