@@ -161,10 +161,13 @@ class CommunityModel:
         self.k = communities
         self.disk = disk = Scratch(votes.sparkSession, "consensus")
         x = delivered_once(votes).where("annotator IS NOT NULL AND winner IS NOT NULL AND loser IS NOT NULL AND winner <> loser")
-        x = x.select("annotator", F.least("winner", "loser").alias("low"), F.greatest("winner", "loser").alias("high"), (F.col("winner") > F.col("loser")).cast("int").alias("said"))
+        # Which of the two counts as the first is left to a hash: names may follow the items' quality, and then one answer would always be right.
+        turned = F.pmod(F.xxhash64(F.least("winner", "loser"), F.greatest("winner", "loser")), F.lit(2)) == 1
+        said = ((F.col("winner") > F.col("loser")) != turned).cast("int")
+        x = x.select("annotator", F.least("winner", "loser").alias("low"), F.greatest("winner", "loser").alias("high"), said.alias("said"))
         cells = disk.save(x.groupBy("annotator", "low", "high", "said").agg(F.count("*").alias("c")))
         total = cells.count()
-        self.pairs = disk.save(cells.groupBy("low", "high").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("said")).alias("n_high")).withColumn("pair", F.monotonically_increasing_id()))
+        self.pairs = disk.save(cells.groupBy("low", "high").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("said")).alias("n_said")).withColumn("pair", F.monotonically_increasing_id()))
         self.annotators = disk.save(cells.groupBy("annotator").agg(F.sum("c").alias("n"), F.count("*").alias("m")).withColumn("who", F.monotonically_increasing_id()))
         self.few_pairs = self.pairs.count() <= BROADCAST_ROWS
         self.few_annotators = self.annotators.count() <= BROADCAST_ROWS
@@ -210,7 +213,7 @@ class CommunityModel:
 
     def _fit(self, rounds: int, tolerance: float) -> None:
         disk = self.disk
-        truth = disk.save(self.pairs.select("pair", F.least(F.greatest(F.col("n_high") / F.col("n"), F.lit(0.05)), F.lit(0.95)).alias("q")))
+        truth = disk.save(self.pairs.select("pair", F.least(F.greatest(F.col("n_said") / F.col("n"), F.lit(0.05)), F.lit(0.95)).alias("q")))
         sums = disk.save(self._sums(truth))
         # Communities start at evenly spaced shares of right answers.
         centres = np.linspace(0.15, 0.95, self.k)
@@ -246,8 +249,11 @@ class CommunityModel:
         At even odds the item with the smaller name is given.
         """
         x = self.pairs.join(self.truth, "pair")
-        high = F.col("q") > 0.5
-        named = F.when(high, F.col("n_high")).otherwise(F.col("n") - F.col("n_high"))
+        turned = F.pmod(F.xxhash64("low", "high"), F.lit(2)) == 1
+        named = F.when(F.col("q") > 0.5, F.col("n_said")).otherwise(F.col("n") - F.col("n_said"))
+        high = F.when(F.col("q") == 0.5, False).otherwise((F.col("q") > 0.5) != turned)
+        # At even odds the smaller name is given: its votes are those not said, or those said if the pair is turned.
+        named = F.when((F.col("q") == 0.5) & turned, F.col("n_said")).otherwise(named)
         return x.select("low", "high", F.when(high, F.col("high")).otherwise(F.col("low")).alias("winner"), F.greatest("q", 1 - F.col("q")).alias("certainty"), (named / F.col("n")).alias("agreement"), F.col("n").alias("n_votes"))
 
     def reliability(self, votes_of_community: float = 10.0) -> DataFrame:
