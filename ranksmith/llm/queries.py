@@ -65,6 +65,12 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _quality(spark, d).statistics.drop("row")
 
 
+def p8_counts(spark: SparkSession, d: str) -> DataFrame:
+    x = p8_statistics(spark, d)
+    share = [F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "punctuated_lines", "common_share")]
+    return x.select("doc_id", F.col("n_words").cast("long").alias("n_words"), *share)
+
+
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     return _quality(spark, d).scores()
 
@@ -73,6 +79,27 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return _quality(spark, d).not_prose()
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_strengths": p4_strengths, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_annotators": p5_annotators, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_statistics": p8_statistics}
-
-ORACLE: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_strengths": p4_strengths, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_annotators": p5_annotators, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_counts": p8_counts, "p8_scores": p8_scores, "p8_statistics": p8_statistics}
+
+#: Labels go along links until none falls; each round only those that fell.
+_GROUPS = """WITH RECURSIVE n AS (SELECT DISTINCT x FROM (SELECT src x FROM match_links UNION ALL SELECT dst FROM match_links) WHERE x IS NOT NULL),
+e AS MATERIALIZED (SELECT src a, dst b FROM match_links WHERE src <> dst UNION SELECT dst, src FROM match_links WHERE src <> dst),
+cc(v, g) USING KEY (v) AS (SELECT x, x FROM n UNION
+  (SELECT e.b, min(c.g) FROM cc c JOIN e ON e.a = c.v JOIN recurring.cc r ON r.v = e.b WHERE c.g < r.g GROUP BY e.b))
+SELECT g AS group_name, v AS record_name FROM cc"""
+
+_EDGES = "'.,;:!?()[]{}\"«»“”„’‘…-–—*¶' || chr(39)"
+_COUNTS = f"""WITH d AS (SELECT doc_id, text, [w for w in regexp_split_to_array(lower(text), '[\\s\\pZ]+') if w <> ''] ws, [rtrim(x, ' ' || chr(9) || chr(13)) for x in string_split(text, chr(10))] ls FROM documents),
+c AS (SELECT *, [trim(w, {_EDGES}) for w in ws] bare, [x for x in ls if x <> ''] lines FROM d),
+l AS (SELECT lang, list(word) known FROM common_words GROUP BY lang),
+k AS (SELECT doc_id, max(len([w for w in bare if list_contains(known, w)])) best FROM c, l GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(length(regexp_replace(text, '[\\s\\pZ]', '', 'g')) / len(ws), 6) AS mean_word_length,
+  round((length(text) - length(regexp_replace(text, '[^\\pL\\pN\\s\\pZ]', '', 'g'))) / length(text), 6) AS symbol_ratio,
+  round(len([x for x in lines if regexp_matches(x, '([.!?:;…]|[.][)"”’»])$')]) / len(lines), 6) AS punctuated_lines,
+  round(best / len(ws), 6) AS common_share
+FROM c JOIN k USING (doc_id)"""
+
+ORACLE: dict[str, str] = {
+    "p1_found": _GROUPS,
+    "p8_counts": _COUNTS,
+}
