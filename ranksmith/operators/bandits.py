@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ranksmith.model import InvalidInput, Model, ParamMismatch, params_of, same_params
 from ranksmith.operators.online import Exp3
-from ranksmith.operators.pairs import bounded, clean_pairs, finite
+from ranksmith.operators.pairs import bounded, clean_pairs, finite, require
 
 ARMS = "entity string, n long, total double, squares double"
 #: Selection draws for every arm; that many can be looked at by hand.
@@ -57,8 +57,8 @@ class Bandit:
         if self.policy == "exp3":
             inner = Exp3(self.gamma)
             return self._named(inner.update(Model("exp3", params_of(inner), model.table, {}), rewards), model.info["draws"])
-        if self.policy == "thompson-beta" and rewards.where("reward < 0 OR reward > 1").limit(1).count():
-            raise InvalidInput("rewards must lie in [0, 1]")
+        if self.policy == "thompson-beta":
+            rewards = require(rewards, F.coalesce(F.col("reward").between(0, 1), F.lit(True)), "rewards must lie in [0, 1]")
         both = model.table.select("entity", "n", "total", "squares").unionByName(arm_sums(rewards))
         return self._made(both, model.info["draws"])
 

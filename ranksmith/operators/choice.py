@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ranksmith.functions.math import np_norm_cdf, np_norm_pdf, np_norm_ppf, np_softmax
 from ranksmith.model import EmptyDataset, InvalidInput, Model, NumericError, params_of
-from ranksmith.operators.pairs import LOCAL_PAIRS, bounded, clean_pairs, local_cells
+from ranksmith.operators.pairs import LOCAL_PAIRS, bounded, clean_pairs, local_cells, require, single_players
 from ranksmith.operators.spectral import _components, frame, scored
 
 
@@ -69,8 +69,7 @@ class GeneralizedBt:
     tolerance: float = 1e-9
 
     def fit(self, games: DataFrame) -> Model:
-        if games.where((F.size("side1") != 1) | (F.size("side2") != 1)).limit(1).count():
-            raise InvalidInput("only games of one player a side")
+        games = single_players(games)
         h, v = F.col("side1")[0].alias("h"), F.col("side2")[0].alias("v")
         won = lambda c: F.sum(F.when(c, F.col("weight")).otherwise(0.0))
         g = games.groupBy(h, v).agg(won(F.col("margin") > 0).alias("x1"), won(F.col("margin") < 0).alias("x2"), won(F.col("margin") == 0).alias("x0"))
@@ -152,8 +151,8 @@ class TeamBradleyTerry:
     ties: str = "error"
 
     def fit(self, games: DataFrame) -> Model:
-        if self.ties == "error" and games.where("margin = 0").limit(1).count():
-            raise InvalidInput("a tied game")
+        if self.ties == "error":
+            games = require(games, F.col("margin") != 0, "a tied game")
         first = F.col("margin") > 0
         g = games.where("margin <> 0").select(F.when(first, F.col("side1")).otherwise(F.col("side2")).alias("w"), F.when(first, F.col("side2")).otherwise(F.col("side1")).alias("l"), F.col("weight").cast("double").alias("x"))
         p = bounded(g.select(F.array_sort("w").alias("w"), F.array_sort("l").alias("l"), "x").groupBy("w", "l").agg(F.sum("x").alias("x")), LOCAL_PAIRS, "distinct pairings of sides")
@@ -287,8 +286,7 @@ class PlackettLuce:
 
     def fit(self, ballots: DataFrame, init: Model | None = None) -> Model:
         x = ballots.where(F.size("items") >= 2)
-        if x.where(F.size(F.array_distinct("items")) < F.size("items")).limit(1).count():
-            raise InvalidInput("a ballot names an item twice")
+        x = require(x, F.size(F.array_distinct("items")) == F.size("items"), "a ballot names an item twice")
         rows = bounded(x.groupBy("items").agg(F.count("*").alias("w")), LOCAL_PAIRS, "distinct ballots")
         if not len(rows):
             raise EmptyDataset("no ballot of two items")

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranksmith.functions.math import np_norm_cdf
-from ranksmith.model import InvalidInput, Model, params_of, same_params
-from ranksmith.operators.pairs import finite
+from ranksmith.model import Model, params_of, same_params
+from ranksmith.operators.pairs import finite, require, single_players
 
 State = dict[str, list[float]]
 STATE = "league string, entity string, state array<double>"
@@ -83,8 +83,8 @@ def duels(games: DataFrame) -> DataFrame:
     """1v1 games as payloads: names, sign of the margin, its size, and the count. In a stream other games are left out."""
     if games.isStreaming:
         games = games.where((F.size("side1") == 1) & (F.size("side2") == 1))
-    elif games.where((F.size("side1") != 1) | (F.size("side2") != 1)).limit(1).count():
-        raise InvalidInput("only games of one player a side; teams are for weng-lin")
+    else:
+        games = single_players(games)
     x = games.where(F.col("side1")[0].isNotNull() & F.col("side2")[0].isNotNull() & finite(F.col("margin").cast("double")) & finite(F.col("weight").cast("double")))
     fields = F.struct(F.col("side1")[0].alias("a"), F.col("side2")[0].alias("b"), F.col("margin").cast("double").alias("m"), F.col("weight").cast("double").alias("w"))
     return x.select(_league(games).alias("league"), "seq", F.to_json(fields).alias("payload"))
@@ -197,8 +197,8 @@ class WengLin(Fold):
         broken = (F.size("teams") < 2) | bad | (F.size(F.array_distinct(everyone)) < F.size(everyone))
         if data.isStreaming:
             data = data.where(~broken)
-        elif data.where(broken).limit(1).count():
-            raise InvalidInput("a match needs two teams, none empty, and no player twice")
+        else:
+            data = require(data, ~broken, "a match needs two teams, none empty, and no player twice")
         return data.select(_league(data).alias("league"), "seq", F.to_json(F.struct(F.transform("teams", lambda t: F.struct(t["rank"].alias("r"), t["players"].alias("p"))).alias("t"))).alias("payload"))
 
     def shown(self, state: DataFrame) -> DataFrame:

@@ -25,6 +25,15 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
+def require(df: DataFrame, ok: Column, message: str) -> DataFrame:
+    """``df``, which fails while it is read if a row isn't ``ok``: no pass over the data of its own."""
+    return df.where(F.when(F.coalesce(ok, F.lit(False)), True).otherwise(F.raise_error(F.lit(f"InvalidInput: {message}")).cast("boolean")))
+
+
+def single_players(games: DataFrame) -> DataFrame:
+    return require(games, (F.size("side1") == 1) & (F.size("side2") == 1), "only games of one player a side")
+
+
 def clean_pairs(pairs: DataFrame) -> DataFrame:
     """Rows with both ends, unlike each other, and a finite weight (1 where there is no such column or no value)."""
     w = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in pairs.columns else F.lit(1.0)
@@ -39,10 +48,9 @@ def clean_pairs(pairs: DataFrame) -> DataFrame:
 def to_pairwise(games: DataFrame, ties: str = "error") -> DataFrame:
     """1v1 games as won pairs, weight = count; ties: ``error``, ``discard`` or ``half_win`` (both win half the weight)."""
     _choice("ties", ties, ("error", "discard", "half_win"))
-    if games.where((F.size("side1") != 1) | (F.size("side2") != 1)).limit(1).count():
-        raise InvalidInput("only games of one player a side can be pairs")
-    if ties == "error" and games.where("margin = 0").limit(1).count():
-        raise InvalidInput("a tied game; choose discard or half_win")
+    games = single_players(games)
+    if ties == "error":
+        games = require(games, F.col("margin") != 0, "a tied game; choose discard or half_win")
     a, b = F.col("side1")[0], F.col("side2")[0]
     row = lambda w, l, x: F.struct(w.alias("winner"), l.alias("loser"), x.alias("weight"))
     tied = F.array(row(a, b, F.col("weight") / 2), row(b, a, F.col("weight") / 2)) if ties == "half_win" else F.array().cast("array<struct<winner:string,loser:string,weight:double>>")
@@ -57,10 +65,9 @@ def margin_pairs(games: DataFrame, ties: str = "error", replicate: bool = True)
     Without ``replicate`` one row with ``count`` stays; sums over the rows are the same.
     """
     _choice("ties", ties, ("error", "discard", "zero"))
-    if games.where((F.size("side1") != 1) | (F.size("side2") != 1) | (F.col("weight") != F.floor("weight"))).limit(1).count():
-        raise InvalidInput("only whole counts of one player a side have margins")
-    if ties == "error" and games.where("margin = 0").limit(1).count():
-        raise InvalidInput("a tied game; choose discard or zero")
+    games = require(single_players(games), F.col("weight") == F.floor("weight"), "counts must be whole")
+    if ties == "error":
+        games = require(games, F.col("margin") != 0, "a tied game; choose discard or zero")
     x = games.where("margin <> 0") if ties == "discard" else games
     first = F.col("margin") >= 0
     rest = [c for c in ("seq", "period") if c in games.columns]

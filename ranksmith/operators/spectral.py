@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranksmith.model import InvalidInput, Model, NumericError, params_of
-from ranksmith.operators.pairs import Cells, ballots_to_pairwise, bounded, cells_of, clean_pairs, local_cells, pair_table
+from ranksmith.operators.pairs import Cells, ballots_to_pairwise, bounded, cells_of, clean_pairs, local_cells, pair_table, require
 from ranksmith.session import Scratch
 
 EPS = 1e-8
@@ -304,9 +304,7 @@ class Massey:
     tolerance: float = 1e-10
 
     def fit(self, pairs: DataFrame) -> Model:
-        if pairs.where("weight < 0").limit(1).count():
-            raise InvalidInput("a negative margin")
-        c = local_cells(pairs)
+        c = local_cells(require(pairs, F.coalesce(F.col("weight") >= 0, F.lit(True)), "a negative margin"))
         r = conjugate_gradient(_laplacian(c.size, c.a, c.b, c.n), c.add(c.a, c.w) - c.add(c.b, c.w), self.iterations, self.tolerance, True)
         return scored(pairs, c, "massey", self, r)
 

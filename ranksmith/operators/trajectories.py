@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranksmith.model import InvalidInput, Model, params_of
-from ranksmith.operators.pairs import bounded, finite
+from ranksmith.operators.pairs import bounded, finite, require
 
 
 def clean_steps(steps: DataFrame) -> DataFrame:
@@ -169,8 +169,7 @@ class BehaviorCloning:
     def _counts(self, steps: DataFrame) -> DataFrame:
         x = steps.where(F.col("state").isNotNull())
         if self.sep is not None:
-            if x.where(~F.col("state").contains(self.sep)).limit(1).count():
-                raise InvalidInput(f"a token without {self.sep!r}")
+            x = require(x, F.col("state").contains(self.sep), f"a token without {self.sep!r}")
             group = F.substring_index("state", self.sep, 1)
         else:
             group = F.lit("")

@@ -47,7 +47,7 @@ def test_weng_lin_published(spark):
     assert t["a1"] == pytest.approx((25.992743915179297, 8.19709997489984)) and t["b1"] == pytest.approx((28.48909130001799, 8.220848339985736)) and t["c2"] == pytest.approx((20.518164784802714, 8.127515465304823))
     tm = rate([(1, ["w"]), (2, ["l"])], variant="thurstone-mosteller")
     assert tm["w"] == pytest.approx((29.230718708993216, 7.630934718709003), abs=1e-4)
-    with pytest.raises(InvalidInput):
+    with pytest.raises(Exception, match="no player twice"):
         rate([(1, ["a"]), (2, ["a"])])
 
 
