@@ -8,7 +8,6 @@ Rows of a later update come after all earlier ones, whatever their seq.
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,6 +15,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ class Fold:
     algorithm = ""
 
     def payload(self, data: DataFrame) -> DataFrame:
-        """``league, seq, payload``: a row's fields as JSON."""
+        """``league, seq, payload``: a row's fields as a struct."""
         raise NotImplementedError
 
     def step(self, state: State, row: dict[str, Any]) -> None:
@@ -51,28 +51,35 @@ class Fold:
     def update(self, model: Model, data: DataFrame) -> Model:
         same_params(model, self)
         rows = self.payload(data).select("league", F.lit(1).alias("o"), "seq", F.lit(None).cast("string").alias("entity"), F.lit(None).cast("array<double>").alias("state"), "payload")
-        old = model.table.select("league", F.lit(0).alias("o"), F.lit(None).cast("long").alias("seq"), "entity", "state", F.lit(None).cast("string").alias("payload"))
-        x = old.unionByName(rows).repartition("league").sortWithinPartitions("league", "o", "seq", "payload")
-        return Model(self.algorithm, params_of(self), self.shown(x.mapInPandas(self._run, STATE)))
-
-    def _run(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        old = model.table.select("league", F.lit(0).alias("o"), F.lit(None).cast("long").alias("seq"), "entity", "state", F.lit(None).cast(rows.schema["payload"].dataType).alias("payload"))
+        # A given number of partitions, or adaptive execution would put small leagues into one task.
+        spark = data.sparkSession
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 4 * spark.sparkContext.defaultParallelism)
+        x = old.unionByName(rows).repartition(n, "league").sortWithinPartitions("league", "o", "seq", "payload").select("league", "entity", "state", "payload")
+        return Model(self.algorithm, params_of(self), self.shown(x.mapInArrow(self._run, STATE)))
+
+    def _run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         league, state, begun = None, {}, False
-        for pdf in batches:
-            for g, entity, s, p in zip(pdf["league"], pdf["entity"], pdf["state"], pdf["payload"], strict=True):
+        for batch in batches:
+            # Field by field, as Arrow makes one list of a column much faster than structs.
+            names = [f.name for f in batch.column(3).type]
+            rows = zip(*(c.to_pylist() for c in batch.column(3).flatten()), strict=True)
+            for g, entity, s, p in zip(*(c.to_pylist() for c in batch.columns[:3]), rows, strict=True):
                 if not begun or g != league:
                     if state:
                         yield _rows(league, state)
                     league, state, begun = g, {}, True
-                if p is None:
+                if entity is not None:
                     state[entity] = list(s)
                 else:
-                    self.step(state, json.loads(p))
+                    self.step(state, dict(zip(names, p, strict=True)))
         if state:
             yield _rows(league, state)
 
 
-def _rows(league: str, state: State) -> pd.DataFrame:
-    return pd.DataFrame({"league": league, "entity": list(state), "state": [[float(v) for v in s] for s in state.values()]})
+def _rows(league: str, state: State) -> pa.RecordBatch:
+    columns = [pa.array([league] * len(state), pa.string()), pa.array(list(state), pa.string()), pa.array([[float(v) for v in s] for s in state.values()], pa.list_(pa.float64()))]
+    return pa.RecordBatch.from_arrays(columns, ["league", "entity", "state"])
 
 
 def _league(data: DataFrame):
@@ -87,7 +94,7 @@ def duels(games: DataFrame) -> DataFrame:
         games = single_players(games)
     x = games.where(F.col("side1")[0].isNotNull() & F.col("side2")[0].isNotNull() & finite(F.col("margin").cast("double")) & finite(F.col("weight").cast("double")))
     fields = F.struct(F.col("side1")[0].alias("a"), F.col("side2")[0].alias("b"), F.col("margin").cast("double").alias("m"), F.col("weight").cast("double").alias("w"))
-    return x.select(_league(games).alias("league"), "seq", F.to_json(fields).alias("payload"))
+    return x.select(_league(games).alias("league"), "seq", fields.alias("payload"))
 
 
 def _outcome(m: float) -> float:
@@ -108,7 +115,8 @@ class Elo(Fold):
         return 1.0
 
     def step(self, state: State, row: dict[str, Any]) -> None:
-        a, b = (state.setdefault(row[x], [self.initial_rating]) for x in "ab")
+        a = state.setdefault(row["a"], [self.initial_rating])
+        b = state.setdefault(row["b"], [self.initial_rating])
         e = 1 / (1 + 10 ** ((b[0] - a[0]) / self.scale))
         d = self.k * row["w"] * (_outcome(row["m"]) - e) * self.gain(row["m"])
         a[0] += d
@@ -199,7 +207,7 @@ class WengLin(Fold):
             data = data.where(~broken)
         else:
             data = require(data, ~broken, "a match needs two teams, none empty, and no player twice")
-        return data.select(_league(data).alias("league"), "seq", F.to_json(F.struct(F.transform("teams", lambda t: F.struct(t["rank"].alias("r"), t["players"].alias("p"))).alias("t"))).alias("payload"))
+        return data.select(_league(data).alias("league"), "seq", F.struct(F.transform("teams", lambda t: F.struct(t["rank"].alias("r"), t["players"].alias("p"))).alias("t")).alias("payload"))
 
     def shown(self, state: DataFrame) -> DataFrame:
         s = F.col("state")
@@ -271,7 +279,7 @@ class TdValue(Fold):
         x = x.withColumn("_n", nxt)
         fields = F.struct(F.col("episode_id").cast("string").alias("e"), F.col("step").alias("i"), F.col("state").alias("s"), F.col("reward").cast("double").alias("r"), F.col("_n").alias("n"))
         seq = F.col("seq") if "seq" in data.columns else F.col("step").cast("long")
-        x = x.select(_league(data).alias("league"), seq.alias("seq"), F.to_json(fields, {"ignoreNullFields": "false"}).alias("payload"))
+        x = x.select(_league(data).alias("league"), seq.alias("seq"), fields.alias("payload"))
         return x if self.passes == 1 else x.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(self.passes - 1))) * F.lit(1 << 40) + F.col("seq"))
 
     def shown(self, state: DataFrame) -> DataFrame:
@@ -293,7 +301,7 @@ class Exp3(Fold):
 
     def payload(self, data: DataFrame) -> DataFrame:
         x = data.where(F.col("arm").isNotNull() & finite(F.col("reward").cast("double")))
-        return x.select(_league(data).alias("league"), "seq", F.to_json(F.struct(F.col("arm").alias("a"), F.col("reward").cast("double").alias("r"))).alias("payload"))
+        return x.select(_league(data).alias("league"), "seq", F.struct(F.col("arm").alias("a"), F.col("reward").cast("double").alias("r")).alias("payload"))
 
     def shown(self, state: DataFrame) -> DataFrame:
         """``state``: gain, pulls, summed rewards; score is the chance of the arm."""

@@ -57,7 +57,7 @@ def keyed_fold(stream: DataFrame, op: Fold) -> DataFrame:
 
     The state of a league is a JSON text; within a batch rows go by seq. Use output mode ``update``.
     """
-    rows = op.payload(stream)
+    rows = op.payload(stream).select("league", "seq", F.to_json("payload", {"ignoreNullFields": "false"}).alias("payload"))
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         now: dict[str, list[float]] = json.loads(state.get[0]) if state.exists else {}
