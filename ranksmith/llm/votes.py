@@ -224,22 +224,30 @@ class CommunityModel:
         size, counts = self._totals(members)
         lean = np.array([[1.3, 0.7], [0.7, 1.3]])
         self.e = np.zeros((self.k, 2, 2))
+        last, older = None, None
         for _ in range(rounds):
             alpha = counts + lean
             e = _digamma(alpha) - _digamma(alpha.sum(axis=2, keepdims=True))
             rho = _digamma(size + 1) - _digamma(size.sum() + self.k)
             moved, self.e = np.abs(np.exp(e) - np.exp(self.e)).max(), e
-            members = disk.save(self._members(sums, e, rho))
+            members = self._members(sums, e, rho)
             # What an annotator's vote for the one or the other item adds to the log odds that the higher is better.
             gain = [sum((F.col("r")[m] * F.lit(float(e[m, 1, k] - e[m, 0, k])) for m in range(self.k)), F.lit(0.0)).alias(f"g{k}") for k in (0, 1)]
             x = self._with("who", members.select("who", *gain), ["g0", "g1"])
             odds = x.groupBy("pair").agg(F.sum(F.col("c") * F.when(F.col("said") == 1, F.col("g1")).otherwise(F.col("g0"))).alias("z"))
-            was, truth = truth, disk.save(odds.select("pair", (1 / (1 + F.exp(-F.col("z")))).alias("q")))
-            old, sums = sums, disk.save(self._sums(truth))
-            disk.drop(was, old)
+            # A round is one job: from the annotators' sums to the pairs and back, of which only the new sums are written.
+            truth = odds.select("pair", (1 / (1 + F.exp(-F.col("z")))).alias("q"))
             if moved < tolerance:
+                truth = disk.save(truth)
+                sums = disk.save(self._sums(truth))
                 break
-            size, counts = self._totals(disk.save(self._members(sums, e, rho)))
+            old, sums = sums, disk.save(self._sums(truth))
+            last = (old, truth)
+            size, counts = self._totals(self._members(sums, e, rho))
+            disk.drop(older)
+            older = old
+        else:
+            truth = disk.save(last[1]) if last else truth
         self.truth, self.members = truth, self._members(sums, self.e, rho)
         self.accuracy = [float((np.exp(self.e[m, 0, 0]) + np.exp(self.e[m, 1, 1])) / 2) for m in range(self.k)]
 
