@@ -124,8 +124,6 @@ class Quality:
 
     def __init__(self, docs: DataFrame, common_words: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"):
         self.doc_id = doc_id
-        # As many as there are word lists.
-        self.languages = [r.l for r in common_words.where("lang IS NOT NULL AND word IS NOT NULL").select(F.lower("lang").alias("l")).distinct().collect()]
         self.disk = Scratch(docs.sparkSession, "quality")
         x = text_statistics(docs, common_words, doc_id, text, lang)
         self.statistics = self.disk.save(x.withColumn("row", F.monotonically_increasing_id()))
@@ -154,13 +152,12 @@ class Quality:
         sums = x.groupBy("row").agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.sum(towards).alias("t"), F.max(F.greatest("l", "r")).alias("m"))
         return s.join(sums.select("row", F.greatest("l", "r", "t").alias("outlier_score"), F.exp(-F.col("m")).alias("rarest")), "row").drop("row")
 
-    def not_prose(self, least_score: float = 6.0, prose: float = 0.5) -> DataFrame:
-        """The ids of outliers of which more than half of the characters are not running prose.
+    def not_prose(self, prose: float = 0.5) -> DataFrame:
+        """The ids of documents of which more than half of the characters are not running prose, the furthest outliers first.
 
-        A document in the middle of every statistic scores 4.2, six times ln 2; from 6 on it lies out to some
-        side, and the exact check of its prose share follows. A document whose language isn't known has no ranks to go by and is
-        checked too. Texts without a word are neither prose nor anything else: they are not given.
+        Every document's prose share is checked. Ranks only order the result: papers that are many, or alike, or alone in their
+        language share their tail probabilities, so no score tells them from prose. Texts without a word are neither prose nor
+        anything else: they are not given.
         """
-        out = (F.col("outlier_score") >= least_score) | ~F.col("lang").isin(self.languages)
-        x = self.scores().where(out & (F.col("prose_share") < prose))
-        return x.where("n_words > 0").select(self.doc_id)
+        x = self.scores().where((F.col("prose_share") < prose) & (F.col("n_words") > 0))
+        return x.orderBy(F.desc("outlier_score"), self.doc_id).select(self.doc_id)

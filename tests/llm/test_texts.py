@@ -164,6 +164,18 @@ def test_quality(spark):
     assert rows[202].n_words == 0 and rows[203].lang == "xx"
 
 
+def test_papers_that_hide_each_other_are_no_prose(spark):
+    page = "of\n" + "\n".join(f"{k} | {VOCAB[k]} | {k * 7}" for k in range(20))
+    docs = [(k, "en", " ".join(prose(150, 300 + k))) for k in range(20)] + [(100 + k, "en", page) for k in range(10)]
+    docs += [(200, "fr", "le " + page), (201, "de", " ".join(["der", *prose(60, 4)])), (202, "de", "der " + page)]
+    w = spark.createDataFrame([*WORDS, ("fr", "le"), ("de", "der")], "lang string, word string")
+    few = spark.createDataFrame([(300, "en", page), (301, "en", " ".join(prose(150, 9)))], "doc_id long, lang string, text string")
+    q = quality.Quality(spark.createDataFrame(docs, "doc_id long, lang string, text string"), w)
+    assert {r.doc_id for r in q.not_prose().collect()} == {*range(100, 110), 200, 202}
+    assert max(r.outlier_score for r in q.scores().where("doc_id BETWEEN 100 AND 109").collect()) < 6
+    assert [r.doc_id for r in quality.Quality(few, w).not_prose().collect()] == [300]
+
+
 def test_tail_probabilities_are_exact(spark):
     rng = np.random.default_rng(3)
     rows = [(k, "ab"[k % 2], "s", float(v)) for k, v in enumerate(rng.integers(0, 9, 400))] + [(900 + k, "a", "t", 0.5) for k in range(50)]
