@@ -94,17 +94,23 @@ def found_in(sorted_keys: np.ndarray, probe: np.ndarray) -> np.ndarray:
     return (sorted_keys[at] == probe) & (probe >= 0)
 
 
-def rare_grams(index: ItemIndex, df: dict[int, int], n_docs: int) -> list[np.ndarray]:
+def rare_grams(index: ItemIndex, df: dict[int, int], n_docs: int, least_words: int) -> list[np.ndarray]:
     """The rare n-grams of each item: those with names and sums in them, not those of phrases everybody uses.
 
     An item's own n-grams occur in the documents that hold it and hardly elsewhere, so they have about the count that its
-    lower quarter has; phrases occur in many more. That is judged by item, so one that very many documents hold keeps its seeds.
+    lower quarter has; phrases occur in many more. That is judged by item, so one that very many documents hold keeps its seeds,
+    and by each stretch of ``least_words`` words in it, so does one of which they hold a part: an n-gram is rare if it is so in any.
     """
     out = []
+    slack, stretch = max(5, 0.0005 * n_docs), max(1, least_words - index.n + 1)
     for t in index.texts:
         k = keys(t, index.n)
         seen = np.array([df.get(int(x), 0) for x in k], dtype=float)
-        most = 2 * np.quantile(seen, 0.25) + max(5, 0.0005 * n_docs) if len(k) else 0
+        most = np.full(len(k), 2 * np.quantile(seen, 0.25) + slack if len(k) else 0)
+        if len(k) > stretch:
+            each = 2 * np.quantile(np.lib.stride_tricks.sliding_window_view(seen, stretch), 0.25, axis=1) + slack
+            around = np.pad(each, stretch - 1, constant_values=0)
+            most = np.maximum(most, np.lib.stride_tricks.sliding_window_view(around, stretch).max(axis=1))
         out.append(np.unique(k[seen <= most]))
     return out
 
@@ -252,7 +258,7 @@ def _one_block(docs: DataFrame, n_docs: int, items: list[tuple[str, str]], least
 
     counted = numbered.select("w").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     # At most one row for each n-gram of a block of items, which is bounded.
-    index.keep(rare_grams(index, {r.g: r.n for r in counted.collect()}, n_docs))
+    index.keep(rare_grams(index, {r.g: r.n for r in counted.collect()}, n_docs, least_words))
     ready = sc.broadcast(index)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

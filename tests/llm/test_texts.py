@@ -67,6 +67,13 @@ def test_an_item_in_many_documents_keeps_its_seeds(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(k, "it0") for k in range(60) if k % 2}
 
 
+def test_a_part_in_many_documents_keeps_its_seeds(spark):
+    part = " ".join(ITEMS[0][1].split("\n")[1].split()[20:70])
+    rows = [(k, " ".join(prose(60, 5000 + k)) + " " + (part if k % 3 == 0 else " ".join(prose(60, 6000 + k)))) for k in range(90)]
+    got = leaks.leaked_items(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id string, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(k, "it0") for k in range(0, 90, 3)}
+
+
 def test_blocks_of_items_agree(spark, monkeypatch):
     d, i = spark.createDataFrame(documents(), "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id string, text string")
     whole = sorted(leaks.leaked_items(d, i).collect())
