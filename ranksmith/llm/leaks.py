@@ -31,22 +31,55 @@ def words(text: str) -> list[str]:
     return _WORD.findall(_MARKS.sub("", unicodedata.normalize("NFKD", _NOTHING.sub("", text))).casefold())
 
 
+#: A task line, or several in a row, has at most this many words; so many words beside it tell if passages are alike.
+TASK_WORDS, BESIDE = 20, 5
+
+
+def ends(text: str) -> Iterator[tuple[str, str, str]]:
+    """The lines that a text may begin or end with as a task: the side, their words, and the words of the text beside them."""
+    lines = [x for x in (words(line) for line in (text or "").split("\n")) if x]
+    for side, order in (("start", 1), ("end", -1)):
+        taken: list[str] = []
+        for k, line in enumerate(lines[::order]):
+            taken = taken + line if order > 0 else line + taken
+            rest = [w for x in (lines[k + 1 :] if order > 0 else lines[: -k - 1]) for w in x]
+            if len(taken) > TASK_WORDS or not rest:
+                break
+            yield side, " ".join(taken), " ".join(rest[:BESIDE] if order > 0 else rest[-BESIDE:])
+
+
+def passage(text: str, tasks: set[tuple[str, str]], least_words: int) -> list[str]:
+    """The words of an item without the longest task lines before and after it, if ``least_words`` words are left."""
+    w = words(text or "")
+    cut = {"start": 0, "end": 0}
+    for side, line, _ in ends(text):
+        if (side, line) in tasks:
+            cut[side] = len(line.split())
+    own = w[cut["start"] : len(w) - cut["end"]]
+    return own if len(own) >= least_words else w
+
+
+def item_ends(texts: DataFrame) -> DataFrame:
+    """``side, line, beside`` of each text ``t``."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [x for t in batch.column(0).to_pylist() for x in ends(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["side", "line", "beside"])
+
+    return texts.select("t").mapInArrow(read, "side string, line string, beside string")
+
+
 class ItemIndex:
     """The test items as word numbers, with all their word n-grams."""
 
-    def __init__(self, items: list[tuple[str, str]], n: int):
+    def __init__(self, items: list[tuple[str, str]], n: int, tasks: set[tuple[str, str]], least_words: int):
         self.n = n
-        lines: dict[str, int] = {}
-        for _, text in items:
-            for line in {" ".join(words(x)) for x in (text or "").split("\n")}:
-                lines[line] = lines.get(line, 0) + 1
         self.ids: list[str] = []
         self.texts: list[np.ndarray] = []
         self.number: dict[str, int] = {}
         for item, text in items:
-            # Lines that several items share are task lines, of which no passage is made.
-            own = "\n".join(x for x in (text or "").split("\n") if lines[" ".join(words(x))] == 1 or len(words(x)) > 20)
-            w = [self.number.setdefault(x, len(self.number) + 1) for x in words(own)]
+            w = [self.number.setdefault(x, len(self.number) + 1) for x in passage(text, tasks, least_words)]
             if w:
                 self.ids.append(item)
                 self.texts.append(np.array(w, dtype=np.int64))
@@ -203,7 +236,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, least_words: int = 30, n: in
     2. In how many documents each n-gram of the items occurs is counted over the whole corpus.
     3. The rare n-grams are the seeds; a document and an item with four seeds in common are aligned.
 
-    No text moves between tasks. Items go to the tasks in blocks of at most ITEM_BLOCK_BYTES of text. Null texts and
+    Lines of at most TASK_WORDS words before or after a passage of ``least_words`` words or more that unlike passages share are
+    tasks and no part of it. No text moves between tasks. Items go to the tasks in blocks of at most ITEM_BLOCK_BYTES of text. Null texts and
     texts without words hold nothing; an item of fewer words than ``least_words`` can't be held, nor one without an id. Rows with
     equal ids are looked at one by one and give a row each. An empty table on either side gives no rows.
     """
@@ -213,16 +247,20 @@ def leaked_items(docs: DataFrame, items: DataFrame, least_words: int = 30, n: in
     # Twice as many blocks as needed on average, so that an uneven split stays within the bound.
     blocks = 1 if total <= ITEM_BLOCK_BYTES else -(-2 * total // ITEM_BLOCK_BYTES)
     slim, n_docs = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")), docs.count()
+    # Items of unlike passages share a task line; a repeated passage, or one cut out twice, has the same words beside its lines.
+    shared = disk.save(item_ends(sized).groupBy("side", "line").agg(F.countDistinct("beside").alias("n")).where("n > 1"))
     out = None
     for b in range(blocks):
         part = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
-        found = _one_block(slim, n_docs, sorted((r.i, r.t) for r in part.collect()), least_words, n, disk)
+        known = item_ends(part).join(shared, ["side", "line"], "left_semi").select("side", "line").distinct()
+        tasks = {(r.side, r.line) for r in known.collect()}
+        found = _one_block(slim, n_docs, sorted((r.i, r.t) for r in part.collect()), tasks, least_words, n, disk)
         out = found if out is None else out.unionByName(found)
     return out.select(F.col("d").alias(doc_id), F.col("item").cast(dict(items.dtypes)[item_id]).alias(item_id), "words_held")
 
 
-def _one_block(docs: DataFrame, n_docs: int, items: list[tuple[str, str]], least_words: int, n: int, disk: Scratch) -> DataFrame:
-    index = ItemIndex(items, n)
+def _one_block(docs: DataFrame, n_docs: int, items: list[tuple[str, str]], tasks: set[tuple[str, str]], least_words: int, n: int, disk: Scratch) -> DataFrame:
+    index = ItemIndex(items, n, tasks, least_words)
     sc = docs.sparkSession.sparkContext
     sent = sc.broadcast(index)
     kind = dict(docs.dtypes)["d"]

@@ -74,6 +74,23 @@ def test_a_part_in_many_documents_keeps_its_seeds(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(k, "it0") for k in range(0, 90, 3)}
 
 
+def test_repeated_and_overlapping_items_keep_their_lines(spark, monkeypatch):
+    def broken(w):
+        return "\n".join(" ".join(w[k : k + 9]) for k in range(0, len(w), 9))
+
+    a, b, c = (prose(90, 2000 + k) for k in range(3))
+    items = [("a1", "Read this.\n" + broken(a)), ("a1", "Read this.\n" + broken(a)), ("a2", broken(a) + "\nWho wins?"), ("b", "Read this.\n" + broken(b)), ("b2", broken(b[27:])), ("c", broken(c) + "\nWho wins?")]
+    docs = [(0, " ".join(prose(60, 70) + a[:33])), (1, " ".join(b[60:] + prose(60, 71))), (2, " ".join(prose(60, 72) + c)), (3, "Read this. Who wins? " + " ".join(prose(60, 73)))]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    want = {(0, "a1"), (0, "a2"), (1, "b"), (1, "b2"), (2, "c")}
+    whole = sorted(leaks.leaked_items(d, i).collect())
+    assert {(r.doc_id, r.item_id) for r in whole} == want and len(whole) == 6
+    monkeypatch.setattr(leaks, "ITEM_BLOCK_BYTES", 1500)
+    assert sorted(leaks.leaked_items(d, i).collect()) == whole
+    tasks = {("start", "read this"), ("end", "who wins")}
+    assert leaks.passage(items[0][1], tasks, 30) == leaks.words(" ".join(a)) and leaks.passage("Read this.\na b c", tasks, 30) == ["read", "this", "a", "b", "c"]
+
+
 def test_blocks_of_items_agree(spark, monkeypatch):
     d, i = spark.createDataFrame(documents(), "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id string, text string")
     whole = sorted(leaks.leaked_items(d, i).collect())
