@@ -11,6 +11,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,6 +113,7 @@ class ILsr:
     outer: int = 100
     inner_steps: int = 50
     tolerance: float = 1e-10
+    local_choices: int = 5_000_000
 
     def fit(self, pairs: DataFrame, init: Model | None = None) -> Model:
         c = local_cells(pairs)
@@ -128,29 +130,63 @@ class ILsr:
         return self._solve(pairs, c, rates, pi)
 
     def fit_rankings(self, ballots: DataFrame) -> Model:
-        """A ballot is a row of choices: its first item out of all, the second out of the rest, and so on."""
-        x = ballots.where(F.size("items") >= 2).groupBy("items").agg(F.count("*").alias("w"))
-        rows = bounded(x, 200_000, "distinct ballots")
-        names = sorted({i for b in rows["items"] for i in b}, key=lambda s: s.encode())
-        at = {k: i for i, k in enumerate(names)}
-        choice, win, lose, w = [], [], [], []
-        sets: list[np.ndarray] = []
-        for items, weight in zip(rows["items"], rows["w"], strict=True):
-            ids = [at[i] for i in items]
-            for k in range(len(ids) - 1):
-                sets.append(np.array(ids[k:]))
-                for other in ids[k + 1 :]:
-                    choice.append(len(sets) - 1), win.append(ids[k]), lose.append(other), w.append(float(weight))
-        c = Cells(names, np.array(win, int), np.array(lose, int), np.array(w, float), np.ones(len(w)))
+        """A ballot is a row of choices: its first item out of all, the second out of the rest, and so on.
+
+        Equal choices (a winner out of the same items) are counted in Spark. Up to ``local_choices`` items in all of them the rates
+        are added up in one memory, beyond that by a Spark job a round; only ordered pairs (LOCAL_PAIRS) are bounded.
+        """
+        disk = Scratch(ballots.sparkSession, "ilsr")
+        x = ballots.where(F.size("items") >= 2).select(F.posexplode("items").alias("p", "winner"), "items")
+        x = x.withColumn("rest", F.expr("array_sort(slice(items, p + 2, greatest(size(items) - p - 1, 0)))")).where(F.size("rest") > 0)
+        choices = disk.save(x.groupBy("winner", "rest").agg(F.count("*").cast("double").alias("w")))
+        c = local_cells(choices.select("winner", F.explode("rest").alias("loser"), F.col("w").alias("weight")))
         strongly_connected(c)
-        members, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        choice = np.array(choice)
+        coded = self._coded(choices, c, disk)
+        if (coded.agg(F.sum(F.size("ids"))).first()[0] or 0) <= self.local_choices:
+            batches = coded.toArrow().combine_chunks().to_batches()
 
-        def rates(pi: np.ndarray):
-            return c.b, c.a, c.w / np.bincount(owner, pi[members], len(sets))[choice]
+            def rates(pi: np.ndarray):
+                total = sum((_choice_rates(x, pi, c) for x in batches), np.zeros(len(c.a)))
+                return c.b, c.a, total
+        else:
+
+            def rates(pi: np.ndarray):
+                return c.b, c.a, self._job_rates(coded, pi, c)
 
         return self._solve(ballots, c, rates, np.full(c.size, 1 / c.size))
 
+    @staticmethod
+    def _coded(choices: DataFrame, c: Cells, disk: Scratch) -> DataFrame:
+        """``ids, w``: the numbers of a choice's winner and of the rest."""
+        sent = choices.sparkSession.sparkContext.broadcast({k: i for i, k in enumerate(c.names)})
+
+        def code(batches):
+            at = sent.value
+            for batch in batches:
+                ids = [[at[i] for i in (winner, *rest)] for winner, rest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), batch.column(2)], ["ids", "w"])
+
+        return disk.save(choices.select("winner", "rest", "w").mapInArrow(code, "ids array<int>, w double"))
+
+    @staticmethod
+    def _job_rates(coded: DataFrame, pi: np.ndarray, c: Cells) -> np.ndarray:
+        """The same sums, each task over its choices: at most one row a task for each ordered pair."""
+        sent = coded.sparkSession.sparkContext.broadcast((pi, c))
+
+        def add(batches):
+            pi, c = sent.value
+            total = np.zeros(len(c.a))
+            for batch in batches:
+                total += _choice_rates(batch, pi, c)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"cell": at, "r": total[at]})
+
+        out = np.zeros(len(c.a))
+        rows = coded.mapInArrow(add, "cell long, r double").groupBy("cell").agg(F.sum("r").alias("r")).toPandas()
+        sent.destroy()
+        out[rows["cell"].to_numpy()] = rows["r"].to_numpy()
+        return out
+
     def _solve(self, data: DataFrame, c: Cells, rates, pi: np.ndarray) -> Model:
         used = self.outer
         for k in range(self.outer):
@@ -167,6 +203,22 @@ class ILsr:
         return scored(data, c, "ilsr", self, s - s.mean(), rounds=used)
 
 
+def _choice_rates(batch: pa.RecordBatch, pi: np.ndarray, c: Cells) -> np.ndarray:
+    """For each ordered pair, the sum of the weights of the choices of one over the other by the strengths chosen from."""
+    ids, offsets = batch.column(0).values.to_numpy(zero_copy_only=False), batch.column(0).offsets.to_numpy().astype(np.int64)
+    ids, offsets = ids[offsets[0] : offsets[-1]].astype(np.int64), offsets - offsets[0]
+    length = np.diff(offsets)
+    owner = np.repeat(np.arange(len(length)), length)
+    rate = batch.column(1).to_numpy(zero_copy_only=False) / np.bincount(owner, pi[ids], len(length))
+    # An item that a ballot names again is no pair with itself; all other pairs of a choice are among the ordered ones.
+    lost = ids != ids[offsets[:-1]][owner]
+    owner = owner[lost]
+    key = c.a.astype(np.int64) * c.size + c.b
+    order = np.argsort(key)
+    at = order[np.searchsorted(key, ids[offsets[:-1]][owner] * c.size + ids[lost], sorter=order)]
+    return np.bincount(at, rate[owner], len(key))
+
+
 def strongly_connected(c: Cells) -> None:
     """Ford's condition: everyone is linked by wins to everyone else; else no finite strengths exist."""
     for src, dst in ((c.a, c.b), (c.b, c.a)):

@@ -54,6 +54,24 @@ def test_bradley_terry_and_its_kin(spark, league):
     close(against_bal(scores(spectral.ILsr().fit_rankings(ballots)), False), LOGITS, 2e-4)
 
 
+def test_ilsr_of_more_distinct_ballots_than_one_memory_held(spark, monkeypatch):
+    import itertools
+
+    rows = [(list(b), 1 + (3 * k) % 7) for k, b in enumerate(itertools.permutations("abcde", 4))]
+    ballots = spark.createDataFrame(rows, "items array<string>, n int").selectExpr("explode(sequence(1, n)) i", "items").select("items")
+    kept = spectral.bounded
+
+    def few(df, limit, what):
+        return kept(df, 50 if "ballots" in what else limit, what)
+
+    monkeypatch.setattr(spectral, "bounded", few)
+    local = scores(spectral.ILsr().fit_rankings(ballots))
+    close(local, scores(spectral.ILsr(outer=100, local_choices=0).fit_rankings(ballots)), 1e-9)
+    best = scores(choice.PlackettLuce(iterations=10_000).fit(ballots))
+    mean = sum(map(math.log, best.values())) / len(best)
+    close(local, {k: math.log(v) - mean for k, v in best.items()}, 1e-4)
+
+
 def test_bayes_and_covariates_near_the_mle(spark, league):
     b = choice.BayesianBradleyTerry(samples=1500, burn_in=200).fit(league).table.collect()
     assert all(r.lower <= r.score <= r.upper for r in b) and abs(sum(r.score for r in b) - 1) < 1e-9
