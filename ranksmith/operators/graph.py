@@ -22,6 +22,8 @@ from ranksmith.session import Scratch, hot_keys, lookup
 
 #: Node tables of at most this many rows (an id and a number, about 30 MB as a hash table) are broadcast in the passes.
 BROADCAST_NODES = 500_000
+#: Sources that a breadth-first search goes from at once.
+SOURCES = 256
 
 
 class Graph:
@@ -265,8 +267,9 @@ class BiRank:
 class Harmonic:
     """Summed inverse distances from all (or sampled) sources; by breadth with unit costs, else by shortest weighted paths.
 
-    Unit costs go frontier by frontier as joins of (source, node) with the edges. Weighted ones run Dijkstra from each
-    source in parallel tasks that share the edge arrays, so they are bounded by ``max_edges``.
+    Up to ``max_edges`` edges, tasks share the edge arrays: with unit costs each goes from SOURCES sources at once, a bit for
+    each, with weighted ones by Dijkstra from one after the other. Beyond that unit costs go frontier by frontier as
+    joins of (source, node) with the edges; weighted ones are bounded.
     """
 
     direction: str = "in"
@@ -287,10 +290,46 @@ class Harmonic:
             sources = sources.orderBy(F.xxhash64(F.lit(self.seed), "source")).limit(self.sample)
         scale = g.n / min(self.sample or g.n, g.n)
         e, sources = g.disk.save(e), g.disk.save(sources)
-        reach = self._frontiers(g, e, sources) if self.cost == "unit" else self._dijkstra(g, e, sources)
+        if self.cost == "unit":
+            reach = self._breadth(g, e, sources) if g.m <= self.max_edges else self._frontiers(g, e, sources)
+        else:
+            reach = self._dijkstra(g, e, sources)
         x = g.nodes.join(reach, "id", "left").select("entity", (F.coalesce("h", F.lit(0.0)) * F.lit(scale)).alias("score"))
         return Model("harmonic", params_of(self), x)
 
+    def _breadth(self, g: Graph, e: DataFrame, sources: DataFrame) -> DataFrame:
+        t = e.select("s", "d").toPandas()
+        ids, at = np.unique(np.concatenate([t["s"], t["d"]]), return_inverse=True)
+        s, d = at[: len(t)], at[len(t) :]
+        order = np.argsort(d, kind="stable")
+        to, first = np.unique(d[order], return_index=True)
+        sent = g.nodes.sparkSession.sparkContext.broadcast((ids, s[order].astype(np.int32), to, first))
+
+        def run(batches):
+            ids, src, to, first = sent.value
+            total = np.zeros(len(ids))
+            for pdf in batches:
+                # Nodes without any edge to another node reach none.
+                known = np.flatnonzero(np.isin(ids, pdf["source"].to_numpy()))
+                for k in range(0, len(known), SOURCES):
+                    block = known[k : k + SOURCES]
+                    bit = np.arange(len(block))
+                    front = np.zeros((len(ids), SOURCES // 64), dtype=np.uint64)
+                    front[block, bit // 64] = np.uint64(1) << (bit % 64).astype(np.uint64)
+                    seen, depth = front.copy(), 0
+                    while True:
+                        depth += 1
+                        new = np.bitwise_or.reduceat(front[src], first, axis=0) & ~seen[to]
+                        if not new.any():
+                            break
+                        total[to] += np.bitwise_count(new).sum(axis=1) / depth
+                        seen[to] |= new
+                        front[:] = 0
+                        front[to] = new
+            yield pd.DataFrame({"id": ids, "h": total})
+
+        return sources.repartition(sources.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "id long, h double").groupBy("id").agg(F.sum("h").alias("h"))
+
     def _frontiers(self, g: Graph, e: DataFrame, sources: DataFrame) -> DataFrame:
         front = seen = g.disk.save(sources.select("source", F.col("source").alias("id")))
         parts, depth = None, 0

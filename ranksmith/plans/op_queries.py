@@ -415,6 +415,11 @@ def _harmonic_sql(rounds: int) -> str:
 
 
 @query("g7_harmonic")
+def _(spark, d):
+    return scores(graph.Harmonic().fit(base.edges(spark, d)))
+
+
+@query("g7_harmonic_sample16")
 def _(spark, d):
     return scores(graph.Harmonic(sample=16).fit(base.edges(spark, d)))
 

@@ -72,6 +72,32 @@ def test_ilsr_of_more_distinct_ballots_than_one_memory_held(spark, monkeypatch):
     close(local, {k: math.log(v) - mean for k, v in best.items()}, 1e-4)
 
 
+def test_harmonic_of_a_graph_has_all_sources(spark, tmp_path):
+    import random
+
+    import __spark_entry__ as entry
+
+    rnd = random.Random(5)
+    rows = [(f"n{min(rnd.randrange(400), rnd.randrange(400))}", f"n{rnd.randrange(400)}", 1.0) for _ in range(900)] + [("alone", "alone", 1.0)]
+    spark.createDataFrame(rows, "src string, dst string, weight double").write.parquet(f"{tmp_path}/graph_edges.parquet")
+    after = {}
+    for a, b, _ in rows:
+        after.setdefault(a, set()).add(b)
+    want = dict.fromkeys({x for r in rows for x in r[:2]}, 0.0)
+    for source in want:
+        seen, front, depth = {source}, {source}, 0
+        while front:
+            depth += 1
+            front = {b for a in front for b in after.get(a, ())} - seen
+            seen |= front
+            for b in front:
+                want[b] += 1 / depth
+    close({r.entity: r.score for r in entry.queries()["g7_harmonic"](spark, str(tmp_path)).collect()}, want, 2e-6)
+    e = spark.read.parquet(f"{tmp_path}/graph_edges.parquet")
+    close(scores(graph.Harmonic(max_edges=0).fit(e)), want, 1e-9)
+    close(scores(graph.Harmonic(direction="out").fit(e)), scores(graph.Harmonic(direction="out", max_edges=0).fit(e)), 1e-9)
+
+
 def test_bayes_and_covariates_near_the_mle(spark, league):
     b = choice.BayesianBradleyTerry(samples=1500, burn_in=200).fit(league).table.collect()
     assert all(r.lower <= r.score <= r.upper for r in b) and abs(sum(r.score for r in b) - 1) < 1e-9
