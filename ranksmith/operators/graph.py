@@ -298,8 +298,9 @@ class Harmonic:
         return Model("harmonic", params_of(self), x)
 
     def _breadth(self, g: Graph, e: DataFrame, sources: DataFrame) -> DataFrame:
-        t = e.select("s", "d").toPandas()
-        ids, at = np.unique(np.concatenate([t["s"], t["d"]]), return_inverse=True)
+        # As Arrow: rows of Python objects would take the driver ten times the memory.
+        t = e.select("s", "d").toArrow()
+        ids, at = np.unique(np.concatenate([t["s"].to_numpy(), t["d"].to_numpy()]), return_inverse=True)
         s, d = at[: len(t)], at[len(t) :]
         order = np.argsort(d, kind="stable")
         to, first = np.unique(d[order], return_index=True)
