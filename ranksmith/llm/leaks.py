@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranksmith.session import Scratch
+from ranksmith.session import Scratch, hot_keys, lookup
 
 # A word broken at a line end by a hyphen is one word; soft hyphens and zero-width signs are nothing.
 _BROKEN = re.compile(r"[-\u2010\u2011\u00ad][ \t\r]*\n[ \t]*(?=[^\W\d_])")
@@ -59,52 +60,56 @@ def passage(text: str, tasks: set[tuple[str, str]], least_words: int) -> list[st
     return own if len(own) >= least_words else w
 
 
-def item_ends(texts: DataFrame) -> DataFrame:
-    """``side, line, beside`` of each text ``t``."""
+#: Most bits of a sieve (32 MB); it has 32 for each number until then, and lets more through beyond, but never loses one.
+SIEVE_BITS = 1 << 28
+#: Words that a task remembers the numbers of.
+REMEMBERED = 1 << 19
+
+
+class Sieve:
+    """A Bloom filter of two bits a number, filled by a Spark aggregation; of bounded size however many numbers there are."""
+
+    def __init__(self, numbers: DataFrame, column: str):
+        count = numbers.count()
+        self.mask = min(SIEVE_BITS, 1 << max(16, (32 * count - 1).bit_length() if count else 0)) - 1
+        at = F.explode(F.array(F.col(column).bitwiseAND(self.mask), F.shiftright(column, 31).bitwiseAND(self.mask)))
+        bits = numbers.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits"))
+        # At most SIEVE_BITS / 32 rows.
+        rows = bits.toArrow()
+        self.bits = np.zeros((self.mask + 1) // 32, dtype=np.uint32)
+        self.bits[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
+
+    def _set(self, at: np.ndarray) -> np.ndarray:
+        return (self.bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 > 0
+
+    def passes(self, numbers: np.ndarray) -> np.ndarray:
+        return (numbers > 0) & self._set(numbers & self.mask) & self._set((numbers >> 31) & self.mask)
+
+
+class Numbers(dict):
+    """Words' 63-bit numbers; 0 for a word that the sieve of known words holds back."""
+
+    def __init__(self, known: Sieve | None = None):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        n = (xxhash.xxh3_64_intdigest(word.encode()) >> 1) | 1
+        if self.known is not None and not self.known.passes(np.array([n], dtype=np.int64))[0]:
+            n = 0
+        self[word] = n
+        return n
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [x for t in batch.column(0).to_pylist() for x in ends(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["side", "line", "beside"])
-
-    return texts.select("t").mapInArrow(read, "side string, line string, beside string")
-
-
-class ItemIndex:
-    """The test items as word numbers, with all their word n-grams."""
-
-    def __init__(self, items: list[tuple[str, str]], n: int, tasks: set[tuple[str, str]], least_words: int):
-        self.n = n
-        self.ids: list[str] = []
-        self.texts: list[np.ndarray] = []
-        self.number: dict[str, int] = {}
-        for item, text in items:
-            w = [self.number.setdefault(x, len(self.number) + 1) for x in passage(text, tasks, least_words)]
-            if w:
-                self.ids.append(item)
-                self.texts.append(np.array(w, dtype=np.int64))
-        at = [np.stack([keys(t, n), np.full(max(0, len(t) - n + 1), i), np.arange(max(0, len(t) - n + 1))]) for i, t in enumerate(self.texts)]
-        rows = np.concatenate(at, axis=1) if at else np.zeros((3, 0), dtype=np.int64)
-        rows = rows[:, np.argsort(rows[0], kind="stable")]
-        self.keys, self.item, self.pos = rows
-        self.distinct = np.unique(self.keys)
-
-    def numbers(self, text: str) -> list[int]:
-        get = self.number.get
-        return [get(w, 0) for w in words(text)]
-
-    def keep(self, rare: list[np.ndarray]) -> None:
-        """Only these n-grams of each item start alignments from now on."""
-        self.rare = rare
-        m = np.zeros(len(self.keys), dtype=bool)
-        for i, r in enumerate(rare):
-            m |= (self.item == i) & np.isin(self.keys, r)
-        self.keys, self.item, self.pos = self.keys[m], self.item[m], self.pos[m]
-        self.distinct = np.unique(self.keys)
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int64), pa.int64()))
 
 
 def keys(ids: np.ndarray, n: int) -> np.ndarray:
-    """A number for each n-gram: exact for small vocabularies, a 63-bit mix beyond; -1 with an unknown word in it."""
+    """A 63-bit number for each n-gram of words' numbers; -1 with an unknown word (0 or less) in it."""
     m = len(ids) - n + 1
     if m <= 0:
         return np.zeros(0, dtype=np.int64)
@@ -127,25 +132,20 @@ def found_in(sorted_keys: np.ndarray, probe: np.ndarray) -> np.ndarray:
     return (sorted_keys[at] == probe) & (probe >= 0)
 
 
-def rare_grams(index: ItemIndex, df: dict[int, int], n_docs: int, least_words: int) -> list[np.ndarray]:
-    """The rare n-grams of each item: those with names and sums in them, not those of phrases everybody uses.
+def rare_grams(k: np.ndarray, seen: np.ndarray, n: int, n_docs: int, least_words: int) -> np.ndarray:
+    """The rare ones of an item's n-grams ``k``, which ``seen`` documents hold: those with names and sums in them, not those of phrases everybody uses.
 
     An item's own n-grams occur in the documents that hold it and hardly elsewhere, so they have about the count that its
     lower quarter has; phrases occur in many more. That is judged by item, so one that very many documents hold keeps its seeds,
     and by each stretch of ``least_words`` words in it, so does one of which they hold a part: an n-gram is rare if it is so in any.
     """
-    out = []
-    slack, stretch = max(5, 0.0005 * n_docs), max(1, least_words - index.n + 1)
-    for t in index.texts:
-        k = keys(t, index.n)
-        seen = np.array([df.get(int(x), 0) for x in k], dtype=float)
-        most = np.full(len(k), 2 * np.quantile(seen, 0.25) + slack if len(k) else 0)
-        if len(k) > stretch:
-            each = 2 * np.quantile(np.lib.stride_tricks.sliding_window_view(seen, stretch), 0.25, axis=1) + slack
-            around = np.pad(each, stretch - 1, constant_values=0)
-            most = np.maximum(most, np.lib.stride_tricks.sliding_window_view(around, stretch).max(axis=1))
-        out.append(np.unique(k[seen <= most]))
-    return out
+    slack, stretch = max(5, 0.0005 * n_docs), max(1, least_words - n + 1)
+    most = np.full(len(k), 2 * np.quantile(seen, 0.25) + slack if len(k) else 0)
+    if len(k) > stretch:
+        each = 2 * np.quantile(np.lib.stride_tricks.sliding_window_view(seen, stretch), 0.25, axis=1) + slack
+        around = np.pad(each, stretch - 1, constant_values=0)
+        most = np.maximum(most, np.lib.stride_tricks.sliding_window_view(around, stretch).max(axis=1))
+    return np.unique(k[seen <= most])
 
 
 def align(item: np.ndarray, doc: np.ndarray, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP) -> tuple[int, np.ndarray, np.ndarray]:
@@ -178,8 +178,8 @@ def align(item: np.ndarray, doc: np.ndarray, match: int = MATCH, mismatch: int =
     return best, x[:, 0], x[:, 1]
 
 
-def held_words(item: np.ndarray, doc: np.ndarray, rare: np.ndarray, n: int, pieces: int = 4) -> int:
-    """Words of the item that the document holds in their order, in up to ``pieces`` aligned pieces.
+def held_words(item: np.ndarray, doc: np.ndarray, rare: np.ndarray, n: int) -> int:
+    """Words of the item that the document holds in their order, in any number of aligned pieces.
 
     All words of the item from a piece's first to its last count, single misread ones among them. A piece counts if
     seven in ten of its words are equal and it has a rare n-gram for every six words, two at least; a sentence that
@@ -193,7 +193,7 @@ def held_words(item: np.ndarray, doc: np.ndarray, rare: np.ndarray, n: int, piec
     lo, hi = max(0, int(at[0]) - reach), int(at[-1]) + reach
     item, doc = item.copy(), doc[lo:hi].copy()
     covered = np.zeros(len(item), dtype=bool)
-    for _ in range(pieces):
+    while True:
         _, i, j = align(item, doc)
         if not len(i):
             break
@@ -211,10 +211,10 @@ def held_words(item: np.ndarray, doc: np.ndarray, rare: np.ndarray, n: int, piec
     return int(covered.sum())
 
 
-#: The test items' words are sent to every task; larger sets go in blocks of at most this many bytes of text.
-ITEM_BLOCK_BYTES = 8 << 20
 #: Rare n-grams that a document and an item must share before they are aligned.
 LEAST_SEEDS = 4
+#: Up to this many seeds and words of items (8 bytes each) they go to every task; beyond, documents and seeds are joined by a shuffle.
+BROADCAST_SEEDS = 2_000_000
 
 
 def _flat(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -229,99 +229,185 @@ def _flat(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat, first, first + length
 
 
+def _passages(items: DataFrame, least_words: int, disk: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``pid, w``: the distinct passages as words' numbers; and ``pid, i``: the items of each."""
+    rows = disk.save(items.withColumn("r", F.monotonically_increasing_id()))
+
+    def read_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(r, side, line, beside) for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for side, line, beside in ends(t)]
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], ["r", "side", "line", "beside"])
+
+    lines = disk.save(rows.select("r", "t").mapInArrow(read_ends, "r long, side string, line string, beside string").withColumn("key", F.struct("side", "line")))
+    # Items of unlike passages share a task line; a repeated passage, or one cut out twice, has the same words beside its lines.
+    shared = disk.save(lines.select("key", "beside").distinct().groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    marked = lookup(lines, "key", shared, "key", "n", "n", hot_keys(lines, "key", lines.count(), "key")).where("n IS NOT NULL")
+    tasks = marked.groupBy("r").agg(F.collect_set("key").alias("tasks"))
+
+    def read_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = Numbers()
+        for batch in batches:
+            own = [{(x["side"], x["line"]) for x in tasks or ()} for tasks in batch.column(2).to_pylist()]
+            w = [np.array([number[x] for x in passage(t, k, least_words)], dtype=np.int64) for t, k in zip(batch.column(1).to_pylist(), own, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(w)], ["i", "w"])
+
+    worded = disk.save(rows.join(tasks, "r", "left").select("i", "t", "tasks").mapInArrow(read_words, "i string, w array<long>").where(F.size("w") > 0))
+    passages = disk.save(worded.groupBy("w").agg(F.count("*").alias("copies")).withColumn("pid", F.monotonically_increasing_id()))
+    members = disk.save(lookup(worded, "w", passages, "w", "pid", "pid", hot_keys(worded, "w", worded.count(), "w")).select("pid", "i"))
+    return passages.select("pid", "w"), members
+
+
+def _item_grams(passages: DataFrame, n: int) -> DataFrame:
+    """``pid, at, g``: the n-grams of each passage."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [keys(np.array(w, dtype=np.int64), n) for w in batch.column(1).to_pylist()]
+            length = [len(k) for k in own]
+            at = np.concatenate([np.arange(m) for m in length]) if own else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), length)), pa.array(at, pa.int64()), pa.array(np.concatenate(own) if own else at, pa.int64())], ["pid", "at", "g"])
+
+    return passages.select("pid", "w").mapInArrow(cut, "pid long, at long, g long")
+
+
 def leaked_items(docs: DataFrame, items: DataFrame, least_words: int = 30, n: int = 3, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
     """``doc_id, item_id, words_held``: every document with each test item of which it holds ``least_words`` words in order.
 
-    1. Each document's words are numbered by the items' vocabulary, in one pass over the texts.
+    1. Each document's words are numbered, in one pass over the texts whatever the number of items; words that no item has are 0.
     2. In how many documents each n-gram of the items occurs is counted over the whole corpus.
     3. The rare n-grams are the seeds; a document and an item with four seeds in common are aligned.
 
     Lines of at most TASK_WORDS words before or after a passage of ``least_words`` words or more that unlike passages share are
-    tasks and no part of it. No text moves between tasks. Items go to the tasks in blocks of at most ITEM_BLOCK_BYTES of text. Null texts and
+    tasks and no part of it. Items of equal passages are looked for once. Texts don't move between tasks; beyond BROADCAST_SEEDS
+    the n-grams that occur among the seeds do, and the words of the documents to be aligned. Null texts and
     texts without words hold nothing; an item of fewer words than ``least_words`` can't be held, nor one without an id. Rows with
     equal ids are looked at one by one and give a row each. An empty table on either side gives no rows.
     """
-    disk = Scratch(docs.sparkSession, "leaks")
-    sized = items.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).alias("i"), F.col(text).alias("t"))
-    total = sized.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    # Twice as many blocks as needed on average, so that an uneven split stays within the bound.
-    blocks = 1 if total <= ITEM_BLOCK_BYTES else -(-2 * total // ITEM_BLOCK_BYTES)
+    spark = docs.sparkSession
+    sc, disk = spark.sparkContext, Scratch(spark, "leaks")
+    sized = items.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t"))
+    passages, members = _passages(sized, least_words, disk)
+    grams = disk.save(_item_grams(passages, n))
+    words_sieve = sc.broadcast(Sieve(passages.select(F.explode("w").alias("x")).distinct(), "x"))
+    grams_sieve = sc.broadcast(Sieve(grams.select("g").distinct(), "g"))
     slim, n_docs = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")), docs.count()
-    # Items of unlike passages share a task line; a repeated passage, or one cut out twice, has the same words beside its lines.
-    shared = disk.save(item_ends(sized).groupBy("side", "line").agg(F.countDistinct("beside").alias("n")).where("n > 1"))
-    out = None
-    for b in range(blocks):
-        part = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
-        known = item_ends(part).join(shared, ["side", "line"], "left_semi").select("side", "line").distinct()
-        tasks = {(r.side, r.line) for r in known.collect()}
-        found = _one_block(slim, n_docs, sorted((r.i, r.t) for r in part.collect()), tasks, least_words, n, disk)
-        out = found if out is None else out.unionByName(found)
-    return out.select(F.col("d").alias(doc_id), F.col("item").cast(dict(items.dtypes)[item_id]).alias(item_id), "words_held")
-
-
-def _one_block(docs: DataFrame, n_docs: int, items: list[tuple[str, str]], tasks: set[tuple[str, str]], least_words: int, n: int, disk: Scratch) -> DataFrame:
-    index = ItemIndex(items, n, tasks, least_words)
-    sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast(index)
-    kind = dict(docs.dtypes)["d"]
+    kind = dict(slim.dtypes)["d"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = sent.value
+        number, known = Numbers(words_sieve.value), grams_sieve.value
         for batch in batches:
             rows, lists = [], []
-            for r, text in enumerate(batch.column(1).to_pylist()):
-                w = np.array(ix.numbers(text or ""), dtype=np.int32)
+            for r, t in enumerate(batch.column(1).to_pylist()):
+                w = np.fromiter(map(number.__getitem__, words(t or "")), dtype=np.int64)
                 # Fewer known n-grams than seeds are asked for: the document can hold no passage.
-                if len(w) >= least_words // 2 and found_in(ix.distinct, keys(w, n)).sum() >= LEAST_SEEDS:
+                if len(w) >= least_words // 2 and known.passes(keys(w, n)).sum() >= LEAST_SEEDS:
                     rows.append(r)
                     lists.append(w)
-            offsets = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
-            flat = pa.array(np.concatenate(lists) if lists else np.zeros(0, dtype=np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(offsets, flat)], ["d", "w"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), _lists(lists)], ["d", "w"])
 
-    numbered = disk.save(docs.mapInArrow(read, f"d {kind}, w array<int>"))
+    numbered = disk.save(slim.mapInArrow(read, f"d {kind}, w array<long>").withColumn("row", F.monotonically_increasing_id()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value.distinct
-        total = np.zeros(len(known), dtype=np.int64)
+        known = grams_sieve.value
         for batch in batches:
-            flat, first, _ = _flat(batch.column(0))
-            k = keys(flat, n)
-            hit = np.flatnonzero(found_in(known, k))
-            doc = np.searchsorted(first, hit, side="right") - 1
-            once = np.unique(doc * len(known) + np.searchsorted(known, k[hit]))
-            total += np.bincount(once % max(1, len(known)), minlength=len(known))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"g": known[seen], "n": total[seen]})
+            doc, g = _grams(batch.column(0), n, known)
+            g, times = np.unique(g, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(times, pa.int64())], ["g", "n"])
+
+    counted = disk.save(numbered.select("w").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")))
+    seen = lookup(grams, "g", counted, "g", "n", "n", hot_keys(grams, "g", grams.count(), "g"))
+    seen = seen.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("at", "g", F.coalesce("n", F.lit(0)).alias("n")))).alias("s"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for s in batch.column(2).to_pylist():
+                k, m = (np.array([x[c] for x in s or ()], dtype=np.int64) for c in ("g", "n"))
+                out.append(rare_grams(k, m.astype(float), n, n_docs, least_words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(out)], ["pid", "w", "rare"])
+
+    judged = disk.save(passages.join(seen, "pid", "left").select("pid", "w", "s").mapInArrow(judge, "pid long, w array<long>, rare array<long>"))
+    size = judged.agg(F.sum(F.size("w") + F.size("rare"))).first()[0] or 0
+    few = size <= BROADCAST_SEEDS
+    held = disk.save(_held_by_tasks(numbered, judged, n, least_words, kind) if few else _held_by_join(numbered, judged, n, least_words, kind, disk))
+    words_sieve.destroy()
+    grams_sieve.destroy()
+    out = held.join(members, "pid").select(F.col("d").alias(doc_id), F.col("i").cast(dict(items.dtypes)[item_id]).alias(item_id), "words_held")
+    return out
+
 
-    counted = numbered.select("w").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    # At most one row for each n-gram of a block of items, which is bounded.
-    index.keep(rare_grams(index, {r.g: r.n for r in counted.collect()}, n_docs, least_words))
-    ready = sc.broadcast(index)
+def _grams(lists: pa.ListArray, n: int, known: Sieve) -> tuple[np.ndarray, np.ndarray]:
+    """Document and n-gram, each pair once, of the n-grams that pass."""
+    flat, first, _ = _flat(lists)
+    k = keys(flat, n)
+    hit = np.flatnonzero(known.passes(k))
+    doc, g = np.searchsorted(first, hit, side="right") - 1, k[hit]
+    order = np.lexsort((g, doc))
+    doc, g = doc[order], g[order]
+    new = np.ones(len(g), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (g[1:] != g[:-1])
+    return doc[new], g[new]
+
+
+def _held_by_tasks(numbered: DataFrame, judged: DataFrame, n: int, least_words: int, kind: str) -> DataFrame:
+    """``d, pid, words_held``, with the seeds and the words of the items in every task."""
+    items = judged.toArrow()
+    pids = items["pid"].to_numpy()
+    texts = [np.array(w, dtype=np.int64) for w in items["w"].to_pylist()]
+    rare = [np.array(k, dtype=np.int64) for k in items["rare"].to_pylist()]
+    seeds = np.concatenate([*rare, np.zeros(0, dtype=np.int64)])
+    order = np.argsort(seeds, kind="stable")
+    of = np.repeat(np.arange(len(rare)), [len(k) for k in rare])[order]
+    ready = numbered.sparkSession.sparkContext.broadcast((pids, texts, rare, seeds[order], of))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = ready.value
+        pids, texts, rare, seeds, of = ready.value
         for batch in batches:
             flat, first, last = _flat(batch.column(1))
             k = keys(flat, n)
-            hit = np.flatnonzero(found_in(ix.distinct, k))
+            hit = np.flatnonzero(found_in(seeds, k))
             doc = np.searchsorted(first, hit, side="right") - 1
-            lo = np.searchsorted(ix.keys, k[hit], side="left")
-            some = np.searchsorted(ix.keys, k[hit], side="right") - lo
+            lo = np.searchsorted(seeds, k[hit], side="left")
+            some = np.searchsorted(seeds, k[hit], side="right") - lo
             # The join of the documents' n-grams with the seeds: one row for each document, item and seed.
             at = np.repeat(lo, some) + np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
-            pair = np.repeat(doc, some) * len(ix.texts) + ix.item[at]
-            seeds = np.unique(np.stack([pair, ix.keys[at]]), axis=1)
-            pairs, n_seeds = np.unique(seeds[0], return_counts=True)
+            pair = np.repeat(doc, some) * len(texts) + of[at]
+            shared = np.unique(np.stack([pair, seeds[at]]), axis=1)
+            pairs, times = np.unique(shared[0], return_counts=True)
             got: list[tuple[int, int, int]] = []
-            for p in pairs[n_seeds >= LEAST_SEEDS].tolist():
-                d, i = divmod(p, len(ix.texts))
-                held = held_words(ix.texts[i], flat[first[d] : last[d]], ix.rare[i], n)
+            for p in pairs[times >= LEAST_SEEDS].tolist():
+                d, i = divmod(p, len(texts))
+                held = held_words(texts[i], flat[first[d] : last[d]], rare[i], n)
                 if held >= least_words:
-                    got.append((d, i, held))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array([g[0] for g in got], pa.int64())), pa.array([str(ix.ids[g[1]]) for g in got], pa.string()), pa.array([g[2] for g in got], pa.int32())],
-                ["d", "item", "words_held"],
-            )
+                    got.append((d, pids[i], held))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([g[0] for g in got], pa.int64())), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int32())], ["d", "pid", "words_held"])
+
+    return numbered.select("d", "w").mapInArrow(search, f"d {kind}, pid long, words_held int")
+
+
+def _held_by_join(numbered: DataFrame, judged: DataFrame, n: int, least_words: int, kind: str, disk: Scratch) -> DataFrame:
+    """The same by a join of the documents' n-grams with the seeds, and of the pairs found with both sides' words; hot ones are spread."""
+    by_gram = disk.save(judged.select("pid", F.explode("rare").alias("g")).groupBy("g").agg(F.collect_list("pid").alias("pids")))
+    sieve = numbered.sparkSession.sparkContext.broadcast(Sieve(by_gram, "g"))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, g = _grams(batch.column(1), n, sieve.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), pa.array(g, pa.int64())], ["row", "g"])
+
+    hits = disk.save(numbered.select("row", "w").mapInArrow(emit, "row long, g long"))
+    x = lookup(hits, "g", by_gram, "g", "pids", "pids", hot_keys(hits, "g", hits.count(), "g")).where("pids IS NOT NULL")
+    pairs = disk.save(x.select("row", F.explode("pids").alias("pid")).groupBy("row", "pid").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEDS).select("row", "pid"))
+    packed = judged.select("pid", F.struct("w", "rare").alias("item"))
+    y = lookup(pairs, "pid", packed, "pid", "item", "item", hot_keys(pairs, "pid", pairs.count(), "pid"))
+    y = y.join(numbered, "row").select("d", "pid", F.col("w").alias("doc"), F.col("item.w").alias("w"), F.col("item.rare").alias("rare"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
+            held = np.array([held_words(*(np.array(x, dtype=np.int64) for x in (w, doc, rare)), n) for doc, w, rare in rows], dtype=np.int32)
+            keep = pa.array(np.flatnonzero(held >= least_words), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(held, pa.int32()).take(keep)], ["d", "pid", "words_held"])
 
-    return numbered.mapInArrow(search, f"d {kind}, item string, words_held int")
+    return y.mapInArrow(search, f"d {kind}, pid long, words_held int")

@@ -85,17 +85,30 @@ def test_repeated_and_overlapping_items_keep_their_lines(spark, monkeypatch):
     want = {(0, "a1"), (0, "a2"), (1, "b"), (1, "b2"), (2, "c")}
     whole = sorted(leaks.leaked_items(d, i).collect())
     assert {(r.doc_id, r.item_id) for r in whole} == want and len(whole) == 6
-    monkeypatch.setattr(leaks, "ITEM_BLOCK_BYTES", 1500)
+    monkeypatch.setattr(leaks, "BROADCAST_SEEDS", 0)
     assert sorted(leaks.leaked_items(d, i).collect()) == whole
     tasks = {("start", "read this"), ("end", "who wins")}
     assert leaks.passage(items[0][1], tasks, 30) == leaks.words(" ".join(a)) and leaks.passage("Read this.\na b c", tasks, 30) == ["read", "this", "a", "b", "c"]
 
 
-def test_blocks_of_items_agree(spark, monkeypatch):
-    d, i = spark.createDataFrame(documents(), "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id string, text string")
+def test_items_of_any_number_give_the_same(spark, monkeypatch):
+    d, i = spark.createDataFrame(documents(), "doc_id long, text string"), spark.createDataFrame([*ITEMS, *[(f"x{k}", v) for k, v in ITEMS[:2]]], "item_id string, text string")
     whole = sorted(leaks.leaked_items(d, i).collect())
-    monkeypatch.setattr(leaks, "ITEM_BLOCK_BYTES", 1500)
+    assert {(100, "xit0"), (101, "xit1")} <= {(r.doc_id, r.item_id) for r in whole}
+    # Seeds joined by a shuffle, and a sieve so small that it lets nearly everything through.
+    monkeypatch.setattr(leaks, "BROADCAST_SEEDS", 0)
     assert sorted(leaks.leaked_items(d, i).collect()) == whole
+    monkeypatch.setattr(leaks, "SIEVE_BITS", 1 << 6)
+    assert sorted(leaks.leaked_items(d, i).collect()) == whole
+
+
+def test_a_passage_in_many_pieces(spark):
+    w = prose(72, 3000)
+    docs = [(0, " ".join(x for k in range(0, 72, 9) for x in [*w[k : k + 9], *prose(25, 4000 + k)])), (1, " ".join(x for k in range(0, 56, 7) for x in [*w[k : k + 7], *prose(25, 4100 + k)]))]
+    docs += [(10 + k, " ".join(prose(100, 4200 + k))) for k in range(20)]
+    got = leaks.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([("a", " ".join(w)), ("b", " ".join(prose(72, 3001)))], "item_id string, text string"))
+    held = {(r.doc_id, r.item_id): r.words_held for r in got.collect()}
+    assert held.keys() == {(0, "a"), (1, "a")} and held[0, "a"] >= 70 and held[1, "a"] >= 54
 
 
 def test_alignment_is_the_best_of_all():
@@ -147,6 +160,29 @@ def test_mix(spark):
     assert {(r.source, r.mixed_tokens) for r in again.report.collect()} == {(r.source, r.mixed_tokens) for r in report.values()}
 
 
+def test_shares_come_from_the_schedule(spark, monkeypatch):
+    d = spark.createDataFrame(sources(), "doc_id long, source string, text string")
+    t = spark.createDataFrame([("big", 0.3, 1), ("mid", 0.3, 3), ("tiny", 0.35, 2)], "source string, target_share double, max_repeats int")
+    m = mixing.Mix(d, t, block_tokens=200, group_rows=10)
+    rows = m.rows.collect()
+    # Each source's slots take its blocks in order, and no two sources have a slot in common.
+    assert len({r.slot for r in rows}) == len({(r.slot, r.source) for r in rows})
+    for s in ("big", "mid", "tiny"):
+        mine = sorted((r.slot, r.at) for r in rows if r.source == s)
+        assert [a for _, a in mine] == sorted(a for _, a in mine)
+    slots = mixing.Mix._slots
+    monkeypatch.setattr(mixing.Mix, "_slots", lambda self, *a: slots(self, *a).where("s <> 'big'"))
+    assert {r.source for r in mixing.Mix(d, t, block_tokens=200, group_rows=10).report.where("short").collect()} == {"big", "tiny"}
+
+
+def test_every_block_has_a_slot(spark):
+    d = spark.createDataFrame([(k, f"s{k % 7}" if k % 50 else "rare", "a b c d e " * 8) for k in range(700)], "doc_id long, source string, text string")
+    t = spark.createDataFrame([(f"s{k}", 0.14, 1) for k in range(7)] + [("rare", 0.02, 1)], "source string, target_share double, max_repeats int")
+    m = mixing.Mix(d, t, block_tokens=40)
+    assert [r.source for r in m.report.where("short").collect()] == []
+    assert all(r.mixed_tokens >= r.needed for r in m.report.collect())
+
+
 def test_mix_of_nothing(spark):
     d = spark.createDataFrame(sources(), "doc_id long, source string, text string")
     t = spark.createDataFrame([("gone", None, None), (None, 0.5, 1)], "source string, target_share double, max_repeats int")
@@ -200,6 +236,21 @@ def test_papers_that_hide_each_other_are_no_prose(spark):
     assert [r.doc_id for r in quality.Quality(few, w).not_prose().collect()] == [300]
 
 
+def test_papers_are_found_by_their_scores(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame(corpus(), "doc_id long, lang string, text string")
+    q = quality.Quality(d, spark.createDataFrame(WORDS, "lang string, word string"))
+    want = {100 + k for k in range(len(JUNK))}
+    # Whoever is no prose lies beyond its language's cut-off, and most others of this corpus don't.
+    scored = q.scores().where("n_words > 0").collect()
+    assert {r.doc_id for r in scored if r.prose_share < 0.5} == want
+    assert all(r.outlier_score >= r.cut for r in scored if r.doc_id in want) and any(r.outlier_score < r.cut for r in scored)
+    scores = quality.Quality.scores
+    monkeypatch.setattr(quality.Quality, "scores", lambda self, *a: scores(self, *a).withColumn("outlier_score", F.lit(0.0)))
+    assert q.not_prose().count() == 0
+
+
 def test_tail_probabilities_are_exact(spark):
     rng = np.random.default_rng(3)
     rows = [(k, "ab"[k % 2], "s", float(v)) for k, v in enumerate(rng.integers(0, 9, 400))] + [(900 + k, "a", "t", 0.5) for k in range(50)]
