@@ -46,6 +46,8 @@ class Mix:
         more than ``max_repeats`` times: a source short of tokens gives all it has, so the mix is smaller then.
         Each pass over a source is shuffled anew and cut where ``block_tokens`` tokens are full. Slot k of the schedule belongs to the
         source under the point ``frac(k * golden ratio)`` of the cumulative weights; the j-th slot of a source takes its j-th block.
+        ``rows`` have the slot and ``at``, the token of its source's stream that a row begins with: the mix in order is that by slot and ``at``.
+        A source is ``short`` if what its blocks in the schedule hold is less than its share of all tokens.
 
         Documents without a source (or one that isn't in ``targets``) count towards the size only; documents with no tokens are
         not mixed. A source named twice in ``targets`` has the sum of its shares and its largest repeats. Null or
@@ -73,17 +75,19 @@ class Mix:
             self.rows = disk.save(self.rows)
         reached = self.rows.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"), F.count("*").alias("mixed_rows"), F.max("copy").alias("copies"))
         everything = self.rows.agg(F.sum("n_tokens")).first()[0] or 0
+        # As many rows as the plan has sources.
         x = plan.join(F.broadcast(reached), "source", "left").fillna(0, ["mixed_tokens", "mixed_rows", "copies"])
         self.report = x.select(
             "source", "target_share", "max_repeats", "tokens", "docs", "needed", "mixed_tokens", "mixed_rows", "copies",
             F.when(F.lit(everything > 0), F.col("mixed_tokens") / F.lit(float(max(everything, 1)))).otherwise(0.0).alias("reached_share"),
-            (F.col("available") < F.col("needed")).alias("short"),
+            # Blocks are taken until the share is reached or the source and its repeats are used up.
+            (F.col("mixed_tokens") < F.col("needed")).alias("short"),
         )
 
     def _mixed(self, sized: DataFrame, sources: list, block_tokens: int, group_rows: int) -> DataFrame:
         spark = sized.sparkSession
         if not sources:
-            return sized.where("false").select(F.lit(0).cast("long").alias("slot"), "source", "doc_id", F.lit(0).cast("long").alias("copy"), "n_tokens")
+            return sized.where("false").select(F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("at"), "source", "doc_id", F.lit(0).cast("long").alias("copy"), "n_tokens")
         passes = spark.createDataFrame([(r.source, float(r.taken), math.ceil(r.taken / r.tokens - 1e-12), max(1, r.docs // group_rows)) for r in sources], "source string, taken double, passes long, groups long")
         x = sized.where("n_tokens > 0").join(F.broadcast(passes), "source")
         x = x.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes"))))
@@ -100,16 +104,19 @@ class Mix:
         x = x.join(before, at).withColumn("start", F.col("before") + F.col("inside"))
         x = x.where(F.col("start") < F.col("taken")).withColumn("block", F.floor(F.col("start") / F.lit(block_tokens)))
         slots = self._slots(sources, block_tokens)
-        x = x.join(slots, (x["source"] == slots["s"]) & (x["block"] == slots["rank"]), "left")
-        # The points' discrepancy is a few slots; should a source ever lack more, its last blocks come last.
-        slot = F.coalesce(F.col("k"), F.lit(1 << 62) + F.col("block"))
-        return x.select(slot.alias("slot"), "source", "doc_id", "copy", "n_tokens")
+        # A block without a slot is not in the mix.
+        x = x.join(slots, (x["source"] == slots["s"]) & (x["block"] == slots["rank"]))
+        return x.select(F.col("k").alias("slot"), F.col("start").alias("at"), "source", "doc_id", "copy", "n_tokens")
 
     def _slots(self, sources: list, block_tokens: int, chunk_log2: int = 16) -> DataFrame:
-        """``s, rank, k``: slot k is the rank-th of source s."""
+        """``s, rank, k``: slot k is the rank-th of source s, for every block of each source.
+
+        Points of the sequence fall into an interval as often as its length says but for a few (a logarithm of their number), so a source
+        may lack a few slots after as many points as there are blocks. Those follow behind, source by source.
+        """
         spark = self.plan.sparkSession
         total = sum(r.taken for r in sources)
-        n = math.ceil(total / block_tokens) + 64 * len(sources)
+        n = math.ceil(total / block_tokens) + 64
         edge, cut = 0.0, []
         for r in sources:
             edge += r.taken / total
@@ -123,9 +130,14 @@ class Mix:
 
         x = spark.range(n).select(F.col("id").alias("k"), F.pmod(F.lit(0.5) + F.col("id") * F.lit(GOLDEN), F.lit(1.0)).alias("x"))
         x = x.select("k", under(cut).alias("s"), F.shiftright("k", chunk_log2).alias("chunk"))
-        per = x.groupBy("s", "chunk").agg(F.count("*").alias("c"))
+        per = self.disk.save(x.groupBy("s", "chunk").agg(F.count("*").alias("c")))
+        # One row for each source.
+        given = {r.s: r.c for r in per.groupBy("s").agg(F.sum("c").alias("c")).collect()}
+        blocks = {r.source: math.ceil(r.taken / block_tokens) for r in sources}
+        lacking = [(s, rank) for s in sorted(blocks) for rank in range(given.get(s, 0), blocks[s])]
+        tail = spark.createDataFrame([(s, rank, n + k) for k, (s, rank) in enumerate(lacking)], "s string, rank long, k long")
         w = Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
         per = per.select("s", "chunk", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("before"))
         w = Window.partitionBy("s", "chunk").orderBy("k")
         x = x.withColumn("inside", F.row_number().over(w) - 1).join(per, ["s", "chunk"])
-        return x.select("s", (F.col("before") + F.col("inside")).alias("rank"), "k")
+        return x.select("s", (F.col("before") + F.col("inside")).alias("rank"), "k").unionByName(tail)

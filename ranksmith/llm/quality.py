@@ -114,7 +114,8 @@ def tail_probabilities(values: DataFrame, disk: Scratch, by: tuple[str, ...] = (
         F.sum("c").over(Window.partitionBy(*keys)).alias("n"),
     )
     inside = F.sum("c").over(Window.partitionBy("part", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    x = ordered.withColumn("inside", inside).join(F.broadcast(offsets), ["part", *keys])
+    # Partitions times groups, and groups come from the data: Spark decides how to join.
+    x = ordered.withColumn("inside", inside).join(offsets, ["part", *keys])
     below = F.col("offset") + F.col("inside")
     return x.select(F.struct(*keys, value).alias("k"), "c", F.struct("n", below.alias("below"), (F.col("n") - below + F.col("c")).alias("above")).alias("tails"))
 
@@ -128,13 +129,18 @@ class Quality:
         x = text_statistics(docs, common_words, doc_id, text, lang)
         self.statistics = self.disk.save(x.withColumn("row", F.monotonically_increasing_id()))
 
-    def scores(self) -> DataFrame:
-        """The statistics with ``outlier_score`` and ``rarest``: how far out in its language a document lies.
+    def scores(self, prose: float = 0.5) -> DataFrame:
+        """The statistics with ``outlier_score``, ``rarest`` and ``cut``: how far out in its language a document lies.
 
         For every statistic the parts of the language's documents that lie not above and not below are its two tail probabilities.
         Their negative logarithms are added up over the statistics three ways: left tails, right tails, and
         for each statistic the tail it is skewed to; the largest sum is the score. ``rarest`` is the smallest
         tail probability of any statistic. Ties share their probabilities. Rounded to nine digits for that.
+
+        ``cut`` is the score that a document of the language with less than ``prose`` of running prose has at least: the negative logarithm of
+        the part of its documents up to there. Whoever lies below has a left tail no larger than that part, and the score is no less than
+        any single tail's logarithm. So it holds for every distribution: for papers that are a third of all, or alike, or alone in their
+        language. Null where no document of the language lies so low.
         """
         s = self.statistics
         packed = F.array(*[F.struct(F.lit(n).alias("stat"), (F.round(F.col(n), 9) + F.lit(0.0)).alias("value")) for n in STATISTICS])
@@ -146,18 +152,25 @@ class Quality:
         x = values.select("row", F.struct("lang", "stat", "value").alias("k"))
         x = lookup(x, "k", tails, "k", "tails", "t", hot)
         left, right = (-F.log(F.col(f"t.{c}") / F.col("t.n")) for c in ("below", "above"))
+        low = tails.where((F.col("k.stat") == "prose_share") & (F.col("k.value") <= F.lit(round(prose, 9))))
+        cuts = low.groupBy(F.col("k.lang").alias("lang")).agg(F.max("tails.below").alias("b"), F.max("tails.n").alias("n"))
+        cuts = cuts.select("lang", (-F.log(F.col("b") / F.col("n"))).alias("cut"))
         # Languages times statistics: a few dozen rows, but languages come from the data, so Spark decides how to join.
         x = x.select("row", F.col("k.lang").alias("lang"), F.col("k.stat").alias("stat"), left.alias("l"), right.alias("r")).join(skew, ["lang", "stat"])
         towards = F.when(F.col("skew") < 0, F.col("l")).otherwise(F.col("r"))
         sums = x.groupBy("row").agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.sum(towards).alias("t"), F.max(F.greatest("l", "r")).alias("m"))
-        return s.join(sums.select("row", F.greatest("l", "r", "t").alias("outlier_score"), F.exp(-F.col("m")).alias("rarest")), "row").drop("row")
+        out = s.join(sums.select("row", F.greatest("l", "r", "t").alias("outlier_score"), F.exp(-F.col("m")).alias("rarest")), "row").drop("row")
+        return out.join(cuts, "lang", "left").select(*out.columns, "cut")
+
+    def outliers(self, prose: float = 0.5) -> DataFrame:
+        """The scored documents that lie as far out in their language as one with less than ``prose`` of running prose must."""
+        return self.scores(prose).where(F.col("outlier_score") >= F.col("cut") - F.lit(1e-9))
 
     def not_prose(self, prose: float = 0.5) -> DataFrame:
         """The ids of documents of which more than half of the characters are not running prose, the furthest outliers first.
 
-        Every document's prose share is checked. Ranks only order the result: papers that are many, or alike, or alone in their
-        language share their tail probabilities, so no score tells them from prose. Texts without a word are neither prose nor
-        anything else: they are not given.
+        They are sought among the ``outliers``, whose cut-off comes from the exact ranks and loses none of them; the share of running prose
+        is then checked of each. Texts without a word are neither prose nor anything else: they are not given.
         """
-        x = self.scores().where((F.col("prose_share") < prose) & (F.col("n_words") > 0))
+        x = self.outliers(prose).where((F.col("prose_share") < prose) & (F.col("n_words") > 0))
         return x.orderBy(F.desc("outlier_score"), self.doc_id).select(self.doc_id)
