@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ranksmith.plans import iterated_sql
 from ranksmith.operators.tree_aggregate import hot_nodes, node_totals
 from ranksmith.session import table
 from ranksmith.sources.games_lines import broken_lines, valid_games
@@ -57,5 +58,6 @@ ORACLE = {
     "p2_node_totals": f"""SELECT side, node, count(*) AS n_rows, count(weight) AS n_weighted, round(sum(weight), 6) AS weight_sum
         FROM ({_SIDES}) GROUP BY side, node""",
     "p3_found": _GAMES + "SELECT file_name, line_no FROM g WHERE NOT ok",
+    "p3_broken_lines": iterated_sql.broken_lines(_GAMES, _NUM),
     "p3_valid_games": _GAMES + "SELECT file_name, line_no, array_to_string(s1, ' ') AS side1, array_to_string(s2, ' ') AS side2, t AS threshold, c AS count FROM g WHERE ok",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ranksmith.functions import math as fm
 from ranksmith.operators import bandits, bootstrap, choice, consensus, counting, graph, odds, online, pairs, spectral, trajectories
-from ranksmith.plans import base
+from ranksmith.plans import base, iterated_sql
 from ranksmith.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -278,16 +278,16 @@ for _name, _op, _data in (
     ("a8_ilsr", spectral.ILsr(), base.nation_pairs),
     ("b13_colley", spectral.Colley(), base.nation_pairs),
     ("b14_hodge_rank", spectral.HodgeRank(), base.nation_pairs),
-    ("b15_serial_rank", spectral.SerialRank(), base.nation_pairs),
+    ("b15_serial_rank", spectral.SerialRank(iterations=5000, tolerance=0), base.nation_pairs),
     ("b7_lsr_monte_carlo", spectral.Lsr(estimator="monte-carlo"), base.nation_pairs),
     ("a5_thurstone", choice.ThurstoneMosteller(), base.nation_pairs),
     ("a6_es_rum", choice.EsRum(), base.nation_pairs),
-    ("a10_bayes_bt", choice.BayesianBradleyTerry(samples=500, burn_in=100), base.nation_pairs),
-    ("a13_blade_chest", choice.BladeChest(epochs=20), base.nation_pairs),
-    ("a14_nash_averaging", choice.NashAveraging(iterations=20_000), base.nation_pairs),
+    ("a10_bayes_bt", choice.BayesianBradleyTerry(), base.nation_pairs),
+    ("a13_blade_chest", choice.BladeChest(), base.nation_pairs),
+    ("a14_nash_averaging", choice.NashAveraging(), base.nation_pairs),
     ("b5_kemeny", consensus.Kemeny(passes=10), base.nation_pairs),
     ("b6_kemeny_evolution", consensus.Kemeny(passes=4000, algo="evolution"), base.nation_pairs),
-    ("a7_plackett_luce", choice.PlackettLuce(iterations=200), base.nation_ballots),
+    ("a7_plackett_luce", choice.PlackettLuce(), base.nation_ballots),
     ("h2_footrule", consensus.Footrule(), base.nation_ballots),
     ("a3_generalized_bt", choice.GeneralizedBt(home=True, ties="none"), base.nation_games),
     ("a4_team_bt", choice.TeamBradleyTerry(), base.nation_games),
@@ -297,7 +297,7 @@ for _name, _op, _data in (
 
 @query("a8_ilsr_rankings")
 def _(spark, d):
-    return scores(spectral.ILsr(outer=20).fit_rankings(base.nation_ballots(spark, d)))
+    return scores(spectral.ILsr().fit_rankings(base.nation_ballots(spark, d)))
 
 
 @query("b12_massey")
@@ -326,7 +326,7 @@ def _(spark, d):
 
 @query("a12_crowd_bt")
 def _(spark, d):
-    m = choice.CrowdBt(iterations=30).fit(base.votes(spark, d))
+    m = choice.CrowdBt().fit(base.votes(spark, d))
     return m.table.select("side", "entity", r("score", 4).alias("score"))
 
 
@@ -350,7 +350,7 @@ def _(spark, d):
 
 @query("c6_whr")
 def _(spark, d):
-    m = online.Whr(iterations=30).fit(pairs.to_pairwise(base.nation_games(spark, d)))
+    m = online.Whr().fit(pairs.to_pairwise(base.nation_games(spark, d)))
     return m.table.select("entity", "period", r("rating", 2).alias("rating"), r("sd", 2).alias("sd"))
 
 
@@ -465,13 +465,13 @@ def _(spark, d):
 
 @query("t3_value_compare")
 def _(spark, d):
-    m = trajectories.ValueCompare(replicates=200).fit(base.steps(spark, d))
+    m = trajectories.ValueCompare().fit(base.steps(spark, d))
     return m.table.select("entity", r("score", 2).alias("score"), r("lower", 2).alias("lower"), r("upper", 2).alias("upper"), "n", "n_rep")
 
 
 @query("t3_value_pairs")
 def _(spark, d):
-    op = trajectories.ValueCompare(replicates=200)
+    op = trajectories.ValueCompare()
     return op.pairs(op.fit(base.steps(spark, d))).select("a", "b", r("diff", 2).alias("diff"), r("p_b_above_a", 4).alias("p_b_above_a"))
 
 
@@ -602,3 +602,6 @@ def _(spark, d):
 def _(spark, d):
     g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("q"))
     return g.select("l_orderkey", r(fm.logsumexp(F.col("q"))).alias("lse"))
+
+
+ORACLE.update(iterated_sql.ORACLE)
