@@ -409,34 +409,67 @@ class KCore:
         return Model("k-core", {}, x)
 
 
-def extract_components(edges: DataFrame, min_size: int = 1) -> DataFrame:
-    """``component, size, entity``: undirected components, largest first, then by their smallest name.
-
-    Each round, what an edge joins points to the smaller of its ends (the smallest, of several edges), pointers are followed to
-    their ends, and nodes and edges take over the labels found; edges within a label are gone. With no edge left all is found.
+def _pointed(rows: DataFrame, n_rows: int, key: str, flat: DataFrame, n: int, alias: str) -> DataFrame:
+    """``rows`` with what ``key`` points to in ``flat`` (v, p), or null: few pointers go to every task, many are joined with hot keys spread."""
+    if n <= BROADCAST_NODES:
+        return rows.join(F.broadcast(flat.select(F.col("v").alias("_v"), F.col("p").alias(alias))), rows[key] == F.col("_v"), "left").drop("_v")
+    return lookup(rows, key, flat, "v", "p", alias, hot_keys(rows, key, n_rows, "v"))
+
+
+def _flat_pointers(disk: Scratch, edges: DataFrame) -> tuple[DataFrame, int]:
+    """``v, p``: every node with a smaller neighbour, and the node at the end of its chain of smallest neighbours."""
+    start = disk.save(edges.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("p")))
+    flat, n = start, start.count()
+    while True:
+        # A pointer moves if where it points has itself a pointer; with none moved, all are flat. Few pointers jump thrice a job.
+        x = flat.select("v", "p")
+        for _ in range(3 if n <= BROADCAST_NODES else 1):
+            x = _pointed(x, n, "p", flat, n, "q").select("v", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved"))
+        step = disk.save(x)
+        moved = step.where("moved").limit(1).count()
+        disk.drop(flat)
+        flat = step
+        if not moved:
+            return flat.select("v", "p"), n
+
+
+def minimum_labels(disk: Scratch, edges: DataFrame) -> DataFrame | None:
+    """``v, p``: each node that isn't the smallest of its component, and the smallest; None without an edge.
+
+    ``edges`` (a < b, distinct, a written table) point from the larger to the smaller end. Minimum labels are propagated along them, pointers
+    are jumped until they are flat, and the edges are contracted to the labels reached; every step is a table in the shared folder. It ends when no
+    edge joins two labels any more, that is, when no label changes.
     """
+    n_edges = edges.count()
+    hooks: list[tuple[DataFrame, int]] = []
+    while n_edges:
+        flat, n = _flat_pointers(disk, edges)
+        hooks.append((flat, n))
+        x = _pointed(edges, n_edges, "a", flat, n, "pa").select(F.coalesce("pa", "a").alias("a"), "b")
+        x = _pointed(x, n_edges, "b", flat, n, "pb").select("a", F.coalesce("pb", "b").alias("b")).where("a <> b")
+        left = disk.save(x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        disk.drop(edges)
+        edges, n_edges = left, left.count()
+    # A node is contracted away once, so the rounds' pointers are about different nodes; those
+    # of earlier rounds lead to nodes that later rounds may have moved on.
+    labels, known = None, 0
+    for flat, n in reversed(hooks):
+        if labels is None:
+            labels, known = flat, n
+            continue
+        moved = _pointed(flat, n, "p", labels, known, "q").select("v", F.coalesce("q", "p").alias("p"))
+        labels, known = disk.save(moved.unionByName(labels)), known + n
+    return labels
+
+
+def extract_components(edges: DataFrame, min_size: int = 1) -> DataFrame:
+    """``component, size, entity``: undirected components (of edges with a weight), largest first, then by their smallest name."""
     g = Graph(edges, "components")
-    label = g.nodes.select("id", F.col("id").alias("l"))
     e = g.disk.save(g.edges.where("s <> d").select(F.least("s", "d").alias("a"), F.greatest("s", "d").alias("b")).distinct())
-    size = e.count()
-    while size:
-        # b is the larger end: it points to the smallest end of its edges, and a, where it is smaller, to nothing.
-        up = g.disk.save(e.groupBy(F.col("b").alias("k")).agg(F.min("a").alias("p")))
-        while True:
-            on = g.at(up, "p", up.select(F.col("k").alias("kk"), F.col("p").alias("pp")), "kk", "pp", "q", hot_keys(up, "p", g.n, "kk"))
-            far = g.disk.save(on.select("k", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")))
-            done = not far.where("moved").limit(1).count()
-            g.disk.drop(up)
-            up = far.select("k", "p")
-            up._scratch_path = far._scratch_path
-            if done:
-                break
-        new = g.at(label, "l", up, "k", "p", "q", hot_keys(label, "l", g.n, "k"))
-        label = g.disk.save(new.select("id", F.coalesce("q", "l").alias("l")))
-        x = g.at(e, "a", up, "k", "p", "pa", hot_keys(e, "a", size, "k"))
-        x = g.at(x, "b", up, "k", "p", "pb", hot_keys(e, "b", size, "k")).select(F.coalesce("pa", "a").alias("u"), F.coalesce("pb", "b").alias("v"))
-        e = g.disk.save(x.where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
-        size = e.count()
+    found = minimum_labels(g.disk, e)
+    label = g.nodes.select("id", F.col("id").alias("l"))
+    if found is not None:
+        label = g.disk.save(g.nodes.join(found, F.col("id") == F.col("v"), "left").select("id", F.coalesce("p", "id").alias("l")))
     sizes = g.disk.save(label.groupBy("l").agg(F.count("*").alias("size")).where(F.col("size") >= min_size))
     # Components in order of size: a sorted table of them, numbered by place without one window over all.
     ordered = g.disk.save(sizes.orderBy(F.desc("size"), "l").withColumn("o", F.monotonically_increasing_id()))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ranksmith.functions.math import np_norm_cdf
 from ranksmith.model import Model, params_of, same_params
 from ranksmith.operators.pairs import finite, require, single_players
+from ranksmith.session import Scratch, hot_keys, lookup
 
 State = dict[str, list[float]]
 STATE = "league string, entity string, state array<double>"
@@ -326,6 +327,8 @@ class Exp3(Fold):
 # -- Glicko-2: parallel within a period --------------------------------------------------------------------------------
 
 GLICKO_SCALE = 173.7178
+#: Up to this many players (a name and two numbers, about 50 MB as a hash table) go to every task; more are joined with hot ones spread.
+BROADCAST_PLAYERS = 500_000
 
 
 @dataclass(frozen=True)
@@ -349,11 +352,9 @@ class Glicko2:
         return self.update(self.init(games.sparkSession), games)
 
     def update(self, model: Model, games: DataFrame) -> Model:
-        from ranksmith.session import Scratch
-
         same_params(model, self)
         disk = Scratch(games.sparkSession, "glicko2")
-        g = games.where((F.size("side1") == 1) & (F.size("side2") == 1) & finite(F.col("margin").cast("double")))
+        g = single_players(games).where(finite(F.col("margin").cast("double")) & F.col("side1")[0].isNotNull() & F.col("side2")[0].isNotNull())
         period = F.col("period") if "period" in games.columns else F.lit(1)
         s = F.when(F.col("margin") > 0, 1.0).when(F.col("margin") < 0, 0.0).otherwise(0.5)
         # A row for each player of a game; equal ones of a period are summed before anything else.
@@ -361,22 +362,37 @@ class Glicko2:
         x = g.select(period.alias("period"), F.col("weight").cast("double").alias("w"), F.explode(F.array(seat("side1", "side2", s), seat("side2", "side1", 1 - s))).alias("r"))
         x = x.groupBy("period", "r.entity", "r.other", "r.s").agg(F.sum("w").alias("w"))
         seats = disk.save(x)
-        state = model.table.select("entity", "rating", "rd", "sigma")
-        for p in sorted(r.period for r in seats.select("period").distinct().collect()):
-            new = disk.save(self._period(state, seats.where(F.col("period") == p)))
-            disk.drop(state)
-            state = new
+        periods = sorted((r.period, r.n) for r in seats.groupBy("period").agg(F.count("*").alias("n")).collect())
+        # A large state isn't written anew each period but only its players, and merged every few periods.
+        state = disk.save(model.table.select("entity", "rating", "rd", "sigma"))
+        few = state.count() + seats.agg(F.count_distinct("entity")).first()[0] <= BROADCAST_PLAYERS
+        for k, (p, n) in enumerate(periods):
+            new = disk.save(self._period(disk, state, seats.where(F.col("period") == p), n, few))
+            if few:
+                state = new
+                continue
+            state = state.join(new.select("entity"), "entity", "left_anti").unionByName(new)
+            if k % 8 == 7 or k + 1 == len(periods):
+                state = disk.save(state)
         return Model("glicko2", params_of(self), state.withColumn("score", F.col("rating")))
 
-    def _period(self, state: DataFrame, games: DataFrame) -> DataFrame:
+    def _period(self, disk: Scratch, state: DataFrame, games: DataFrame, n: int, few: bool) -> DataFrame:
+        # Both players' ratings by joins that a player in very many games can't unbalance.
+        packed = state.select("entity", F.struct("rating", "rd").alias("v"))
+        if few:
+            x = games.join(F.broadcast(packed.withColumnRenamed("v", "me")), "entity", "left")
+            x = x.join(F.broadcast(packed.select(F.col("entity").alias("other"), F.col("v").alias("you"))), "other", "left")
+        else:
+            hot = disk.save(hot_keys(games, "entity", n, "entity"))
+            x = lookup(games, "entity", packed, "entity", "v", "me", hot)
+            x = lookup(x, "other", packed, "entity", "v", "you", hot)
         known = lambda name: [F.coalesce(F.col(f"{name}.{c}"), F.lit(getattr(self, c))) for c in ("rating", "rd")]
-        x = games.join(state.alias("me"), "entity", "left").join(state.withColumnRenamed("entity", "other").alias("you"), "other", "left")
         (ra, _), (rb, db) = known("me"), known("you")
         mu, mu_j, phi_j = ((c - 1500.0) / GLICKO_SCALE if k < 2 else c / GLICKO_SCALE for k, c in enumerate((ra, rb, db)))
         gj = 1 / F.sqrt(1 + 3 * phi_j * phi_j / F.lit(math.pi**2))
         e = 1 / (1 + F.exp(-gj * (mu - mu_j)))
         sums = x.groupBy("entity").agg(F.sum(F.col("w") * gj * gj * e * (1 - e)).alias("info"), F.sum(F.col("w") * gj * (F.col("s") - e)).alias("gain"))
-        all_ = state.join(sums, "entity", "full").fillna({"rating": self.rating, "rd": self.rd, "sigma": self.sigma})
+        all_ = sums.join(state, "entity", "full" if few else "left").fillna({"rating": self.rating, "rd": self.rd, "sigma": self.sigma}).select("entity", "rating", "rd", "sigma", "info", "gain")
         tau = self.tau
 
         def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

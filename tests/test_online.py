@@ -246,3 +246,15 @@ def test_sql_functions(spark, season):
     got = {r.entity: r.score for r in spark.sql("SELECT * FROM rs_elo(TABLE(season) PARTITION BY league ORDER BY seq)").collect()}
     assert got == pytest.approx({r.entity: r.score for r in online.Elo().fit(season).table.collect()})
     assert spark.sql("SELECT rs_kelly(0.6D, 1D) k, rs_norm_cdf(0D) c").first().k == pytest.approx(0.2)
+
+
+def test_glicko2_refuses_team_games_and_joins_agree(spark, monkeypatch):
+    rows = [(k, 1 + k // 4, [f"p{k % 3}"], [f"p{(k + 1) % 5 + 3}"], float((-1) ** k), 1.0) for k in range(16)]
+    schema = "seq long, period int, side1 array<string>, side2 array<string>, margin double, weight double"
+    games = spark.createDataFrame(rows, schema)
+    whole = sorted(online.Glicko2().fit(games).table.collect())
+    monkeypatch.setattr(online, "BROADCAST_PLAYERS", 0)
+    for a, b in zip(whole, sorted(online.Glicko2().fit(games).table.collect()), strict=True):
+        assert a.entity == b.entity and a.rating == pytest.approx(b.rating) and a.sigma == pytest.approx(b.sigma)
+    with pytest.raises(Exception, match="InvalidInput"):
+        online.Glicko2().fit(spark.createDataFrame([*rows, (99, 9, ["a", "b"], ["c", "d"], 1.0, 1.0)], schema)).table.collect()
