@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ranksmith.operators.graph import minimum_labels
 from ranksmith.session import HOT_PARTS, Scratch, hot_keys, lookup
 
 
@@ -30,30 +31,11 @@ def match_groups(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFr
     total = records.agg(F.sum("n")).first()[0] or 0
     hot = records.where(F.col("n") * HOT_PARTS >= max(total, HOT_PARTS)).select("name")
 
-    pairs = ends.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    x = lookup(pairs, "u", records, "name", "id", "a", hot).select("a", "v")
-    x = lookup(x, "v", records, "name", "id", "b", hot).select("a", "b")
-    edges = disk.save(x)
-    n_edges = edges.count()
-
-    hooks: list[DataFrame] = []
-    while n_edges:
-        flat = _flat_hooks(disk, edges)
-        hooks.append(flat)
-        left = disk.save(_contracted(edges, flat, n_edges))
-        disk.drop(edges)
-        edges, n_edges = left, left.count()
-
-    # A record is contracted away once, so the rounds' pointers are about different records; those
-    # of earlier rounds lead to records that later rounds may have moved on.
-    labels = None
-    for flat in reversed(hooks):
-        if labels is None:
-            labels = flat
-            continue
-        moved = lookup(flat, "p", labels, "v", "p", "q", hot_keys(flat, "p", flat.count(), "v"))
-        labels = disk.save(moved.select("v", F.coalesce("q", "p").alias("p")).unionByName(labels))
+    # Names become numbers first, so that repeated links are found by two numbers.
+    x = lookup(ends.where("u IS NOT NULL AND v IS NOT NULL AND u <> v"), "u", records, "name", "id", "a", hot).select("a", "v")
+    x = lookup(x, "v", records, "name", "id", "b", hot)
+    edges = disk.save(x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = minimum_labels(disk, edges)
     if labels is None:
         return records.select(F.col("name").alias("group_name"), F.col("name").alias("record_name"))
 
@@ -62,29 +44,3 @@ def match_groups(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFr
     big = hot_keys(labels, "p", labels.count(), "id")
     out = lookup(out, "g", heads, "id", "head", "group_name", big)
     return out.select("group_name", F.col("name").alias("record_name"))
-
-
-def _flat_hooks(disk: Scratch, edges: DataFrame) -> DataFrame:
-    """``v, p``: every record with a smaller neighbour, and the record at the end of its chain of smallest neighbours."""
-    both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
-    flat = both.groupBy(F.col("e.a").alias("v")).agg(F.min("e.b").alias("p")).where("p < v")
-    flat = disk.save(flat)
-    n = flat.count()
-    while True:
-        # A pointer moves if where it points has itself a pointer; with none moved, all are flat.
-        jumped = lookup(flat, "p", flat.select(F.col("v").alias("w"), F.col("p").alias("next")), "w", "next", "q", hot_keys(flat, "p", n, "w"))
-        step = disk.save(jumped.select("v", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")))
-        moved = step.where("moved").limit(1).count()
-        disk.drop(flat)
-        flat = step.select("v", "p")
-        flat._scratch_path = step._scratch_path
-        if not moved:
-            return flat
-
-
-def _contracted(edges: DataFrame, flat: DataFrame, n_edges: int) -> DataFrame:
-    x = lookup(edges, "a", flat, "v", "p", "pa", hot_keys(edges, "a", n_edges, "v"))
-    x = x.select(F.coalesce("pa", "a").alias("a"), "b")
-    x = lookup(x, "b", flat, "v", "p", "pb", hot_keys(edges, "b", n_edges, "v"))
-    x = x.select("a", F.coalesce("pb", "b").alias("b")).where("a <> b")
-    return x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
