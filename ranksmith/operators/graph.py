@@ -462,6 +462,19 @@ def minimum_labels(disk: Scratch, edges: DataFrame) -> DataFrame | None:
     return labels
 
 
+def numbered_by_size(disk: Scratch, sizes: DataFrame) -> DataFrame:
+    """``l, size, component``: the components' numbers in order of size and label, without one window over all."""
+    # Components in order of size: a sorted table of them, numbered by place without one window over all.
+    ordered = disk.save(sizes.orderBy(F.desc("size"), "l").withColumn("o", F.monotonically_increasing_id()))
+    parts = ordered.groupBy(F.shiftright("o", 33).alias("part")).agg(F.count("*").alias("k")).orderBy("part").collect()
+    before, total = [], 0
+    for r in parts:
+        before.append((r.part, total))
+        total += r.k
+    offsets = disk.spark.createDataFrame(before or [(0, 0)], "part long, before long")
+    return ordered.join(F.broadcast(offsets), F.shiftright("o", 33) == F.col("part")).select("l", "size", (F.col("before") + F.col("o").bitwiseAND((1 << 33) - 1)).alias("component"))
+
+
 def extract_components(edges: DataFrame, min_size: int = 1) -> DataFrame:
     """``component, size, entity``: undirected components (of edges with a weight), largest first, then by their smallest name."""
     g = Graph(edges, "components")
@@ -471,15 +484,7 @@ def extract_components(edges: DataFrame, min_size: int = 1) -> DataFrame:
     if found is not None:
         label = g.disk.save(g.nodes.join(found, F.col("id") == F.col("v"), "left").select("id", F.coalesce("p", "id").alias("l")))
     sizes = g.disk.save(label.groupBy("l").agg(F.count("*").alias("size")).where(F.col("size") >= min_size))
-    # Components in order of size: a sorted table of them, numbered by place without one window over all.
-    ordered = g.disk.save(sizes.orderBy(F.desc("size"), "l").withColumn("o", F.monotonically_increasing_id()))
-    parts = ordered.groupBy(F.shiftright("o", 33).alias("part")).agg(F.count("*").alias("k")).orderBy("part").collect()
-    before, total = [], 0
-    for r in parts:
-        before.append((r.part, total))
-        total += r.k
-    offsets = edges.sparkSession.createDataFrame(before or [(0, 0)], "part long, before long")
-    numbered = ordered.join(F.broadcast(offsets), F.shiftright("o", 33) == F.col("part")).select("l", "size", (F.col("before") + F.col("o").bitwiseAND((1 << 33) - 1)).alias("component"))
+    numbered = numbered_by_size(g.disk, sizes)
     out = lookup(label, "l", numbered.select(F.col("l").alias("k"), F.struct("component", "size").alias("v")), "k", "v", "v", hot_keys(label, "l", g.n, "k"))
     return out.where("v IS NOT NULL").join(g.nodes, "id").select("v.component", "v.size", "entity")
 

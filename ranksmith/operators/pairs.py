@@ -241,9 +241,9 @@ def cells_of(p: pd.DataFrame) -> Cells:
     return Cells([str(x) for x in names], at[:m], at[m:], p["w"].to_numpy(float), p["n"].to_numpy(float))
 
 
-def local_cells(pairs: DataFrame, limit: int = LOCAL_PAIRS) -> Cells:
+def local_cells(pairs: DataFrame, limit: int | None = None) -> Cells:
     """The aggregated pairs; rows themselves never leave the executors."""
-    c = cells_of(bounded(ordered_pairs(clean_pairs(pairs)), limit, "ordered pairs"))
+    c = cells_of(bounded(ordered_pairs(clean_pairs(pairs)), LOCAL_PAIRS if limit is None else limit, "ordered pairs"))
     if not c.size:
         raise EmptyDataset("no pair with two ends")
     return c

@@ -1,7 +1,7 @@
 """Spectral and least-squares rankers over aggregated pairs.
 
-Each reduces the rows in Spark to ordered pairs (one shuffle, partial sums) and iterates in one memory, whose bound is
-``LOCAL_PAIRS``; the iterations are far too many and too small to be jobs.
+Each reduces the rows in Spark to ordered pairs (one shuffle, partial sums). Up to ``LOCAL_PAIRS`` of them it iterates in one memory, as
+the iterations are too many and too small to be jobs; larger pair tables are iterated where they lie (``sweeps``), with the same result.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranksmith.model import InvalidInput, Model, NumericError, params_of
-from ranksmith.operators.pairs import Cells, ballots_to_pairwise, bounded, cells_of, clean_pairs, local_cells, pair_table, require
+from ranksmith.model import InvalidInput, Model, NumericError, TooLarge, params_of
+from ranksmith.operators.pairs import Cells, ballots_to_pairwise, bounded, clean_pairs, local_cells, pair_table, require
 from ranksmith.session import Scratch
 
 EPS = 1e-8
@@ -27,6 +27,16 @@ def frame(data: DataFrame, columns: dict[str, Any], schema: str) -> DataFrame:
     return data.sparkSession.createDataFrame(pd.DataFrame(columns), schema)
 
 
+def cells_or_arcs(pairs: DataFrame, label: str, limit: int | None = None) -> Any:
+    """The aggregated pairs in memory, or their ``sweeps.Arcs`` if they are too many."""
+    from ranksmith.operators.sweeps import Arcs
+
+    try:
+        return local_cells(pairs, limit)
+    except TooLarge:
+        return Arcs(pairs, label)
+
+
 def scored(data: DataFrame, c: Cells, algorithm: str, op: Any, score: np.ndarray, **info: Any) -> Model:
     return Model(algorithm, params_of(op), frame(data, {"entity": c.names, "score": np.asarray(score, float) + 0.0}, "entity string, score double"), info)
 
@@ -56,7 +66,11 @@ class Lsr:
     seed: int = 2020
 
     def fit(self, pairs: DataFrame, init: Model | None = None) -> Model:
-        c = local_cells(pairs)
+        c = cells_or_arcs(pairs, "lsr")
+        if not isinstance(c, Cells):
+            if self.estimator != "power" or init is not None:
+                raise TooLarge("beyond one memory there are power steps from an even start only")
+            return sweeps().lsr(c, self, 10 if self.steps is None else self.steps, EPS)
         out = c.add(c.b, c.w / 2)
         degree = out
         p = np.divide(c.w / 2, out[c.b], out=np.zeros(len(c.w)), where=out[c.b] > 0)
@@ -116,7 +130,9 @@ class ILsr:
     local_choices: int = 5_000_000
 
     def fit(self, pairs: DataFrame, init: Model | None = None) -> Model:
-        c = local_cells(pairs)
+        c = cells_or_arcs(pairs, "ilsr")
+        if not isinstance(c, Cells):
+            return sweeps().ilsr(c, self)
         strongly_connected(c)
         pi = np.full(c.size, 1 / c.size)
         if init is not None:
@@ -241,7 +257,9 @@ class RankCentrality:
     tolerance: float = 1e-10
 
     def fit(self, pairs: DataFrame) -> Model:
-        c = local_cells(pairs)
+        c = cells_or_arcs(pairs, "rank-centrality")
+        if not isinstance(c, Cells):
+            return sweeps().rank_centrality(c, self)
         i, j, wi, wj = c.unordered()
         d_max = max(1, np.bincount(np.concatenate([i, j])).max())
         both = wi + wj > 0
@@ -260,7 +278,9 @@ class RandomWalker:
     def fit(self, pairs: DataFrame) -> Model:
         if not 0.5 < self.p < 1:
             raise InvalidInput(f"p must lie between a half and 1, got {self.p}")
-        c = local_cells(pairs)
+        c = cells_or_arcs(pairs, "random-walker")
+        if not isinstance(c, Cells):
+            return sweeps().random_walker(c, self)
         i, j, wi, wj = c.unordered()
         g = c.add(c.a, c.w) + c.add(c.b, c.w)
         src, dst = np.concatenate([i, j]), np.concatenate([j, i])
@@ -279,7 +299,9 @@ class Keener:
     tolerance: float = 1e-12
 
     def fit(self, pairs: DataFrame) -> Model:
-        c = local_cells(pairs)
+        c = cells_or_arcs(pairs, "keener")
+        if not isinstance(c, Cells):
+            return sweeps().keener(c, self)
         i, j, si, sj = c.unordered()
         a = np.concatenate([si + 1, sj + 1]) / np.tile(si + sj + 2, 2)
         if self.skew:
@@ -306,7 +328,9 @@ class OffenseDefense:
     tolerance: float = 1e-9
 
     def fit(self, pairs: DataFrame) -> Model:
-        c = local_cells(pairs)
+        c = cells_or_arcs(pairs, "offense-defense")
+        if not isinstance(c, Cells):
+            return sweeps().offense_defense(c, self)
         m = c.w > 0
         a, b, w = c.a[m], c.b[m], c.w[m]
         for at, what in ((a, "never scored"), (b, "was never scored on")):
@@ -356,7 +380,9 @@ class Massey:
     tolerance: float = 1e-10
 
     def fit(self, pairs: DataFrame) -> Model:
-        c = local_cells(require(pairs, F.coalesce(F.col("weight") >= 0, F.lit(True)), "a negative margin"))
+        c = cells_or_arcs(require(pairs, F.coalesce(F.col("weight") >= 0, F.lit(True)), "a negative margin"), "massey")
+        if not isinstance(c, Cells):
+            return sweeps().massey(c, self)
         r = conjugate_gradient(_laplacian(c.size, c.a, c.b, c.n), c.add(c.a, c.w) - c.add(c.b, c.w), self.iterations, self.tolerance, True)
         return scored(pairs, c, "massey", self, r)
 
@@ -369,7 +395,9 @@ class Colley:
     tolerance: float = 1e-10
 
     def fit(self, pairs: DataFrame) -> Model:
-        c = local_cells(pairs)
+        c = cells_or_arcs(pairs, "colley")
+        if not isinstance(c, Cells):
+            return sweeps().colley(c, self)
         lap = _laplacian(c.size, c.a, c.b, c.w)
         b = 1 + (c.add(c.a, c.w) - c.add(c.b, c.w)) / 2
         return scored(pairs, c, "colley", self, conjugate_gradient(lambda x: 2 * x + lap(x), b, self.iterations, self.tolerance))
@@ -384,21 +412,23 @@ class HodgeRank:
     tolerance: float = 1e-10
 
     def fit(self, pairs: DataFrame) -> Model:
-        p = bounded(pair_table(clean_pairs(pairs)), 5_000_000, "pairs")
-        x = pd.DataFrame({"winner": p["i"], "loser": p["j"], "w": p["w_ij"], "n": p["n_ij"] + p["n_ji"]})
-        c = cells_of(x)
-        wi, wj, n = p["w_ij"].to_numpy(), p["w_ji"].to_numpy(), x["n"].to_numpy(float)
+        if self.flow not in ("log-odds", "win-rate-delta", "mean-margin"):
+            raise InvalidInput(f"flow {self.flow}")
+        c = cells_or_arcs(pairs, "hodge-rank")
+        if not isinstance(c, Cells):
+            return sweeps().hodge_rank(c, self)
+        i, j, wi, wj = c.unordered()
+        low = np.minimum(c.a, c.b).astype(np.int64) * c.size + np.maximum(c.a, c.b)
+        n = np.bincount(np.searchsorted(i * c.size + j, low), c.n, len(i))
         if self.flow == "log-odds":
             y, w = np.log((wi + 0.5) / (wj + 0.5)), wi + wj
         elif self.flow == "win-rate-delta":
             y, w = np.divide(wi - wj, wi + wj, out=np.zeros_like(wi), where=wi + wj > 0), wi + wj
-        elif self.flow == "mean-margin":
-            y, w = (wi - wj) / n, n
         else:
-            raise InvalidInput(f"flow {self.flow}")
-        s = conjugate_gradient(_laplacian(c.size, c.a, c.b, w), np.bincount(c.a, w * y, c.size) - np.bincount(c.b, w * y, c.size), self.iterations, self.tolerance, True)
+            y, w = (wi - wj) / n, n
+        s = conjugate_gradient(_laplacian(c.size, i, j, w), np.bincount(i, w * y, c.size) - np.bincount(j, w * y, c.size), self.iterations, self.tolerance, True)
         whole = (w * y * y).sum()
-        rest = (w * (y - (s[c.a] - s[c.b])) ** 2).sum()
+        rest = (w * (y - (s[i] - s[j])) ** 2).sum()
         return scored(pairs, c, "hodge-rank", self, s, inconsistency=float(rest / whole) if whole > 0 else 0.0)
 
 
@@ -411,7 +441,9 @@ class SerialRank:
     seed: int = 2014
 
     def fit(self, pairs: DataFrame) -> Model:
-        c = local_cells(pairs)
+        c = cells_or_arcs(pairs, "serial-rank")
+        if not isinstance(c, Cells):
+            return sweeps().serial_rank(c, self)
         i, j, wi, wj = c.unordered()
         v = np.sign(wi - wj)
 
@@ -449,7 +481,9 @@ class Mc4:
     tolerance: float = 1e-9
 
     def fit(self, ballots: DataFrame) -> Model:
-        c = local_cells(ballots_to_pairwise(ballots))
+        c = cells_or_arcs(ballots_to_pairwise(ballots), "mc4")
+        if not isinstance(c, Cells):
+            return sweeps().mc4(c, self)
         i, j, wi, wj = c.unordered()
         n = c.size
         to_j, to_i = wj > wi, wi > wj
@@ -465,7 +499,8 @@ class BradleyTerryMM:
 
     ``table``: ``section, kind, entity, score``; kinds ``ranked`` (strengths that sum to 1 in their section), ``undefeated``
     (rows won), ``winless`` (minus rows lost, if removed) and ``isolated`` (whose opponents were all taken out; null score).
-    Beyond ``local_pairs`` pairs the sweeps are Spark jobs.
+    Beyond ``local_pairs`` pairs the same maximum is reached by accelerated rounds of Spark jobs; made-up games and links are for
+    pair tables in one memory only, and a start from earlier strengths isn't needed there.
     """
 
     iterations: int = 10_000
@@ -478,8 +513,15 @@ class BradleyTerryMM:
     seed: int = 1221
     local_pairs: int = 5_000_000
 
+    def _large(self, arcs: Any) -> Model:
+        if self.create_fake_games > 0 or self.random_subgraph_links:
+            raise TooLarge("made-up games and links need the pairs in one memory")
+        return sweeps().bradley_terry(arcs, self)
+
     def fit(self, pairs: DataFrame, init: Model | None = None) -> Model:
-        c = local_cells(pairs, self.local_pairs)
+        c = cells_or_arcs(pairs, "btm-mm", self.local_pairs)
+        if not isinstance(c, Cells):
+            return self._large(c)
         a, b, w, n = c.a, c.b, c.w, c.n
         kinds: dict[str, list[tuple[str, float]]] = {"undefeated": [], "winless": []}
         if self.create_fake_games > 0:
@@ -526,6 +568,13 @@ class BradleyTerryMM:
         return Model("btm-mm", params_of(self), pairs.sparkSession.createDataFrame(rows, "section int, kind string, entity string, score double"), {"sweeps": sweeps})
 
 
+def sweeps():
+    """The module of the distributed iterations, which needs this one's neighbours."""
+    from ranksmith.operators import sweeps as module
+
+    return module
+
+
 def mm_sweeps(a, b, w, n, pi, iterations, tolerance):
     """Hunter's MM: ``pi_i = W_i / sum_j n_ij / (pi_i + pi_j)``, summing to 1."""
     pi = pi / pi.sum()
