@@ -20,7 +20,11 @@ from ranksmith.session import Scratch, hot_keys, lookup
 
 #: Earlier rounds that an accelerated iteration looks back to.
 MEMORY = 8
-AB, BA, P, Q = F.col("ab"), F.col("ba"), F.col("p.x"), F.col("q.x")
+
+
+def _ends() -> tuple[Column, Column, Column, Column]:
+    """Weights of a over b and of b over a, and both ends' x."""
+    return F.col("ab"), F.col("ba"), F.col("p.x"), F.col("q.x")
 
 
 class Arcs:
@@ -96,52 +100,58 @@ def _balance(g: Arcs, s: DataFrame, y: Column, **sums: Column) -> DataFrame:
 
 
 def lsr(g: Arcs, op: Any, steps: int, eps: float) -> Model:
-    deg = g.sums(half=BA / 2)
+    ab, ba, p, q = _ends()
+    deg = g.sums(half=ba / 2)
     s = g.disk.save(g.start(x=1 / g.n).join(deg, "id"))
-    inn = F.when(F.col("q.half") > 0, Q * AB / 2 / F.col("q.half")).otherwise(0.0)
+    inn = F.when(F.col("q.half") > 0, q * ab / 2 / F.col("q.half")).otherwise(0.0)
     s, _ = g.iterate(s, lambda s: _balance(g, s, F.col("inn") + eps, inn=inn), steps, 0, True)
     log = F.log(F.greatest("x", F.lit(1e-300)) / F.sqrt(F.greatest("half", F.lit(eps))))
     return g.model("lsr", op, s, _scored(log - F.lit(s.agg(F.avg(log)).first()[0])))
 
 
 def rank_centrality(g: Arcs, op: Any) -> Model:
+    ab, ba, p, q = _ends()
     d_max = g.arcs.groupBy("a").agg(F.count("*").alias("k")).agg(F.max("k")).first()[0]
-    part = lambda w: F.when(AB + BA > 0, w / (AB + BA)).otherwise(0.0) / d_max
-    s, used = g.iterate(g.start(x=1 / g.n), lambda s: _balance(g, s, F.col("x") * (1 - F.col("out")) + F.col("inn"), inn=Q * part(AB), out=part(BA)), op.iterations, op.tolerance)
+    part = lambda w: F.when(ab + ba > 0, w / (ab + ba)).otherwise(0.0) / d_max
+    s, used = g.iterate(g.start(x=1 / g.n), lambda s: _balance(g, s, F.col("x") * (1 - F.col("out")) + F.col("inn"), inn=q * part(ab), out=part(ba)), op.iterations, op.tolerance)
     return g.model("rank-centrality", op, s, _scored(), rounds=used)
 
 
 def random_walker(g: Arcs, op: Any) -> Model:
-    s = g.disk.save(g.start(x=1 / g.n).join(g.sums(g=AB + BA), "id"))
-    inn, out = Q * (op.p * AB + (1 - op.p) * BA) / F.col("q.g"), (op.p * BA + (1 - op.p) * AB) / F.col("p.g")
+    ab, ba, p, q = _ends()
+    s = g.disk.save(g.start(x=1 / g.n).join(g.sums(g=ab + ba), "id"))
+    inn, out = q * (op.p * ab + (1 - op.p) * ba) / F.col("q.g"), (op.p * ba + (1 - op.p) * ab) / F.col("p.g")
     s, used = g.iterate(s, lambda s: _balance(g, s, F.col("x") * (1 - F.col("out")) + F.col("inn"), inn=inn, out=out), op.iterations, op.tolerance)
     return g.model("random-walker", op, s, _scored(), rounds=used)
 
 
 def keener(g: Arcs, op: Any) -> Model:
-    f = (AB + 1) / (AB + BA + 2)
+    ab, ba, p, q = _ends()
+    f = (ab + 1) / (ab + ba + 2)
     if op.skew:
         f = 0.5 + 0.5 * F.signum(f - 0.5) * F.sqrt(F.abs(2 * f - 1))
     games = F.greatest("games", F.lit(1)) if op.normalize_games else F.lit(1.0)
-    s, used = g.iterate(g.start(x=1 / g.n), lambda s: _balance(g, s, F.col("inn") / games, inn=f * Q, games=F.col("nab") + F.col("nba")), op.iterations, op.tolerance, True)
+    s, used = g.iterate(g.start(x=1 / g.n), lambda s: _balance(g, s, F.col("inn") / games, inn=f * q, games=F.col("nab") + F.col("nba")), op.iterations, op.tolerance, True)
     return g.model("keener", op, s, _scored(), rounds=used)
 
 
 def mc4(g: Arcs, op: Any) -> Model:
+    ab, ba, p, q = _ends()
     n = float(g.n)
     y = op.damping * (F.col("x") * (1 - F.col("out")) + F.col("inn")) + (1 - op.damping) / n
-    s, used = g.iterate(g.start(x=1 / n), lambda s: _balance(g, s, y, inn=F.when(AB > BA, Q / n).otherwise(0.0), out=F.when(BA > AB, 1 / n).otherwise(0.0)), op.iterations, op.tolerance)
+    s, used = g.iterate(g.start(x=1 / n), lambda s: _balance(g, s, y, inn=F.when(ab > ba, q / n).otherwise(0.0), out=F.when(ba > ab, 1 / n).otherwise(0.0)), op.iterations, op.tolerance)
     return g.model("mc4", op, s, _scored(), rounds=used)
 
 
 def offense_defense(g: Arcs, op: Any) -> Model:
+    ab, ba, p, q = _ends()
     idle = g.sums(scored=F.col("ab"), against=F.col("ba")).where("scored <= 0 OR against <= 0").limit(5).count()
     if idle:
         raise NumericError("somebody never scored, or was never scored on")
     s = g.disk.save(g.start(x=1.0))
     for _ in range(op.iterations):
-        o = g.disk.save(s.select("id", "x").join(g.sums(s, o=AB / Q), "id"))
-        new = g.disk.save(o.join(g.sums(o, ("o",), d=BA / F.col("q.o")), "id").select("id", "o", "x", "d"))
+        o = g.disk.save(s.select("id", "x").join(g.sums(s, o=ab / q), "id"))
+        new = g.disk.save(o.join(g.sums(o, ("o",), d=ba / F.col("q.o")), "id").select("id", "o", "x", "d"))
         moved = new.agg((F.sum(F.abs(F.col("d") - F.col("x"))) / F.sum(F.abs("x"))).alias("m")).first()[0]
         g.disk.drop(s, o)
         s = new.select("id", "o", F.col("d").alias("x"))
@@ -156,6 +166,7 @@ def offense_defense(g: Arcs, op: Any) -> Model:
 
 def conjugate_gradient(g: Arcs, weight: Column, shift: float, b: DataFrame, iterations: int, tolerance: float, mean_zero: bool) -> DataFrame:
     """``id, x``: the solution of (shift + Laplacian of ``weight``) x = b (``id, b``); a step is one written table and two sums."""
+    ab, ba, p, q = _ends()
     mean = b.agg(F.avg("b")).first()[0] if mean_zero else 0.0
     s = g.disk.save(b.select("id", F.lit(0.0).alias("s"), (F.col("b") - mean).alias("r"), (F.col("b") - mean).alias("x")))
     rr, bb = s.agg(F.sum(F.col("r") ** 2)).first()[0], b.agg(F.sum(F.col("b") ** 2)).first()[0]
@@ -163,7 +174,7 @@ def conjugate_gradient(g: Arcs, weight: Column, shift: float, b: DataFrame, iter
     for _ in range(iterations):
         if np.sqrt(rr) <= stop:
             break
-        ap = g.sums(s, l=weight * (P - Q))
+        ap = g.sums(s, l=weight * (p - q))
         new = g.disk.save(s.join(ap, "id").select("id", "s", "r", "x", (F.lit(shift) * F.col("x") + F.col("l")).alias("ap")))
         step = rr / new.agg(F.sum(F.col("x") * F.col("ap"))).first()[0]
         left = F.col("r") - step * F.col("ap")
@@ -177,35 +188,39 @@ def conjugate_gradient(g: Arcs, weight: Column, shift: float, b: DataFrame, iter
 
 
 def massey(g: Arcs, op: Any) -> Model:
-    x = conjugate_gradient(g, F.col("nab") + F.col("nba"), 0.0, g.disk.save(g.sums(b=AB - BA)), op.iterations, op.tolerance, True)
+    ab, ba, p, q = _ends()
+    x = conjugate_gradient(g, F.col("nab") + F.col("nba"), 0.0, g.disk.save(g.sums(b=ab - ba)), op.iterations, op.tolerance, True)
     return g.model("massey", op, x, _scored())
 
 
 def colley(g: Arcs, op: Any) -> Model:
-    b = g.disk.save(g.sums(d=AB - BA).select("id", (1 + F.col("d") / 2).alias("b")))
-    return g.model("colley", op, conjugate_gradient(g, AB + BA, 2.0, b, op.iterations, op.tolerance, False), _scored())
+    ab, ba, p, q = _ends()
+    b = g.disk.save(g.sums(d=ab - ba).select("id", (1 + F.col("d") / 2).alias("b")))
+    return g.model("colley", op, conjugate_gradient(g, ab + ba, 2.0, b, op.iterations, op.tolerance, False), _scored())
 
 
 def hodge_rank(g: Arcs, op: Any) -> Model:
+    ab, ba, p, q = _ends()
     n = F.col("nab") + F.col("nba")
-    y = {"log-odds": F.log((AB + 0.5) / (BA + 0.5)), "win-rate-delta": F.when(AB + BA > 0, (AB - BA) / (AB + BA)).otherwise(0.0), "mean-margin": (AB - BA) / n}[op.flow]
-    w = n if op.flow == "mean-margin" else AB + BA
+    y = {"log-odds": F.log((ab + 0.5) / (ba + 0.5)), "win-rate-delta": F.when(ab + ba > 0, (ab - ba) / (ab + ba)).otherwise(0.0), "mean-margin": (ab - ba) / n}[op.flow]
+    w = n if op.flow == "mean-margin" else ab + ba
     x = g.disk.save(conjugate_gradient(g, w, 0.0, g.disk.save(g.sums(b=w * y)), op.iterations, op.tolerance, True))
-    parts = g.sums(x, whole=w * y * y, rest=w * (y - (P - Q)) ** 2).agg(F.sum("whole").alias("whole"), F.sum("rest").alias("rest")).first()
+    parts = g.sums(x, whole=w * y * y, rest=w * (y - (p - q)) ** 2).agg(F.sum("whole").alias("whole"), F.sum("rest").alias("rest")).first()
     return g.model("hodge-rank", op, x, _scored(), inconsistency=float(parts.rest / parts.whole) if parts.whole > 0 else 0.0)
 
 
 def serial_rank(g: Arcs, op: Any) -> Model:
     """Power steps on the shifted similarity: its product with a vector is two passes over the signs of the pairs."""
-    sign, n = F.signum(AB - BA), float(g.n)
+    ab, ba, p, q = _ends()
+    sign, n = F.signum(ab - ba), float(g.n)
 
     def similar(s: DataFrame) -> DataFrame:
         """The state with ``z``, the similarity's product with x."""
         total = s.agg(F.sum("x")).first()[0]
-        c = g.disk.save(s.join(g.sums(s, c=sign * Q), "id"))
+        c = g.disk.save(s.join(g.sums(s, c=sign * q), "id"))
         return c.join(g.sums(c, ("c",), cc=sign * F.col("q.c")), "id").withColumn("z", (F.lit(n * total) - F.col("cc")) / 2).drop("c", "cc")
 
-    net = g.sums(net=AB - BA)
+    net = g.sums(net=ab - ba)
     degree = g.disk.save(similar(g.start(x=1.0)).select("id", F.col("z").alias("degree")))
     shift = 2 * max(degree.agg(F.max("degree")).first()[0], 1.0)
     start = F.xxhash64(F.lit(op.seed), "id").bitwiseAND((1 << 40) - 1) / F.lit(float(1 << 40)) - 0.5
@@ -242,13 +257,14 @@ def luce_logs(g: Arcs, prior: float = 0.0, tolerance: float = 1e-9, rounds: int
     weight of a win and a loss of each node against one virtual node, whose strength is a number in the driver. Not
     converged after ``rounds`` rounds is an error.
     """
+    ab, ba, p, q = _ends()
     s, v = g.disk.save(g.start(x=0.0).withColumn("past", F.array().cast("array<struct<f:double,g:double>>"))), 0.0
     fv: list[float] = []
     gv: list[float] = []
     sa, sb = F.exp("p.x"), F.exp("q.x")
     for k in range(rounds):
         own = F.lit(prior) / (F.exp("x") + F.lit(float(np.exp(v))))
-        r = g.sums(s, inn=AB * sb / (sa + sb), out=BA / (sa + sb))
+        r = g.sums(s, inn=ab * sb / (sa + sb), out=ba / (sa + sb))
         to = F.log((F.col("inn") + own * F.lit(float(np.exp(v)))) / (F.col("out") + own))
         x = s.join(r, "id").select("id", "x", to.alias("g"), own.alias("own"), "past")
         new = g.disk.save(x.select("id", "own", F.concat(F.array(F.struct((F.col("g") - F.col("x")).alias("f"), "g")), F.slice("past", 1, MEMORY)).alias("past")))
