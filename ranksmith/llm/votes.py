@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ranksmith.model import NumericError
+from ranksmith.operators.sweeps import Arcs, luce_logs
 from ranksmith.session import Scratch, hot_keys, lookup
 
 
@@ -49,23 +51,25 @@ def luce_strengths(
     ``prior`` is the weight of one win and one loss of each item against a virtual item: with it the maximum exists for
     items that never won or never lost too. Rows are votes: the same seq counts once, null weight is 1, and rows with a null or
     equal winner and loser or a weight that is not a finite positive number do not count. Items that stand in no counted vote have no
-    strength and no row. Beyond ``local_pairs`` pairs every step is a Spark job on tables in the shared folder,
-    with the same result; either way pair totals are summed in Spark first.
+    strength and no row. Beyond ``local_pairs`` pairs the rounds are Spark jobs on tables in the shared folder: each rebuilds the rates
+    and takes one step towards the stationary distribution, accelerated so that tens of rounds reach the same maximum. Either way pair
+    totals are summed in Spark first, and not to have converged after ``outer`` rounds is an error.
     """
     disk = Scratch(votes.sparkSession, "luce")
     pairs = disk.save(won_votes(delivered_once(votes)))
+    n_pairs = pairs.count()
+    if n_pairs > local_pairs:
+        g = Arcs(pairs.select("winner", "loser", F.col("w").alias("weight")), "luce")
+        logs, _ = luce_logs(g, prior, tolerance, outer)
+        mean = logs.agg(F.avg("x")).first()[0]
+        out = g.nodes.join(logs, "id").join(g.sums(won=F.col("ab"), lost=F.col("ba")), "id")
+        return out.select(F.col("entity").alias("item"), (F.col("x") - F.lit(mean)).alias("strength"), "won", "lost")
     sides = pairs.select(F.explode(F.array(F.struct(F.col("winner").alias("item"), F.col("w").alias("won"), F.lit(0.0).alias("lost")), F.struct(F.col("loser").alias("item"), F.lit(0.0).alias("won"), F.col("w").alias("lost")))).alias("s")).select("s.*")
     items = disk.save(sides.groupBy("item").agg(F.sum("won").alias("won"), F.sum("lost").alias("lost"), F.count("*").alias("n")).sort("item").withColumn("id", F.monotonically_increasing_id()))
-    n_pairs = pairs.count()
     hot = items.where(F.col("n") * 1000 >= max(2 * n_pairs, 1000)).select("item")
     x = lookup(pairs, "winner", items, "item", "id", "a", hot).select("a", "loser", "w")
     coded = disk.save(lookup(x, "loser", items, "item", "id", "b", hot).select("a", "b", "w"))
-    if n_pairs <= local_pairs:
-        strengths = _local(coded, prior, tolerance, outer, inner)
-    else:
-        strengths = _distributed(disk, coded, items.select("id"), prior, tolerance, outer, inner)
-    out = items.join(strengths, "id")
-    return out.select("item", "strength", "won", "lost")
+    return items.join(_local(coded, prior, tolerance, outer, inner), "id").select("item", "strength", "won", "lost")
 
 
 def _local(coded: DataFrame, prior: float, tolerance: float, outer: int, inner: int) -> DataFrame:
@@ -93,47 +97,14 @@ def _local(coded: DataFrame, prior: float, tolerance: float, outer: int, inner:
         s, v = new, new_v
         if moved < tolerance:
             break
+    else:
+        if n:
+            raise NumericError(f"not converged after {outer} rounds")
     log = np.log(s)
     out = pd.DataFrame({"id": ids.astype("int64"), "strength": log - log.mean() if n else log})
     return coded.sparkSession.createDataFrame(out, "id long, strength double")
 
 
-def _distributed(disk: Scratch, coded: DataFrame, ids: DataFrame, prior: float, tolerance: float, outer: int, inner: int) -> DataFrame:
-    """The same chain as joins and sums; per step one table of items is written, and two scalars come to the driver."""
-    n, m = ids.count(), coded.count()
-    hot_a, hot_b = (disk.save(hot_keys(coded, c, m, "id")) for c in "ab")
-    state, v = disk.save(ids.select("id", F.lit(1 / n).alias("s"))), 1 / n
-    for _ in range(outer):
-        x = lookup(coded, "a", state, "id", "s", "sa", hot_a)
-        x = lookup(x, "b", state, "id", "s", "sb", hot_b)
-        rates = disk.save(x.select("a", "b", (F.col("w") / (F.col("sa") + F.col("sb"))).alias("rate")))
-        out = rates.groupBy(F.col("b").alias("id")).agg(F.sum("rate").alias("o"))
-        own = F.lit(prior) / (F.col("s") + F.lit(v))
-        chain = state.join(out, "id", "left").select("id", "s", own.alias("own"), (F.coalesce("o", F.lit(0.0)) + own).alias("out"))
-        chain = disk.save(chain.withColumn("visits", F.col("s") * F.col("out")))
-        out_v = chain.agg(F.sum("own")).first()[0]
-        visits_v = v * out_v
-        for _ in range(inner):
-            flow = chain.select("id", (F.col("visits") / F.col("out")).alias("flow"))
-            came = lookup(rates, "b", flow, "id", "flow", "flow", hot_b)
-            came = came.groupBy(F.col("a").alias("id")).agg(F.sum(F.col("rate") * F.col("flow")).alias("came"))
-            new = chain.join(came, "id", "left").withColumn("nxt", F.coalesce("came", F.lit(0.0)) + F.col("own") * F.lit(visits_v / out_v))
-            nxt_v = chain.agg(F.sum(F.col("own") * F.col("visits") / F.col("out"))).first()[0]
-            step = disk.save(new.select("id", "s", "own", "out", ((F.col("visits") + F.col("nxt")) / 2).alias("visits")))
-            disk.drop(chain)
-            chain, visits_v = step, (visits_v + nxt_v) / 2
-        new = chain.select("id", F.col("s").alias("was"), (F.col("visits") / F.col("out")).alias("s"))
-        total = new.agg(F.sum("s")).first()[0] + visits_v / out_v
-        moved = new.agg(F.max(F.abs(F.log(F.col("s") / F.lit(total) / F.col("was"))))).first()[0]
-        step = disk.save(new.select("id", (F.col("s") / F.lit(total)).alias("s")))
-        disk.drop(state, rates, chain)
-        state, v = step, visits_v / out_v / total
-        if moved < tolerance:
-            break
-    mean = state.agg(F.avg(F.log("s"))).first()[0]
-    return state.select("id", (F.log("s") - F.lit(mean)).alias("strength"))
-
-
 def stronger_than(strengths: DataFrame, anchors: DataFrame) -> DataFrame:
     """``item``: those above the yardstick of ``anchors``; without a yardstick that has a strength there are none."""
     bar = anchors.where("is_yardstick").select("item").distinct().join(strengths, "item").agg(F.max("strength")).first()[0]

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from ranksmith.model import NumericError
 from ranksmith.llm.votes import CommunityModel, _digamma, luce_strengths, stronger_than
 
 SCHEMA = "seq long, annotator string, winner string, loser string, weight double, loaded_at long"
@@ -72,9 +73,12 @@ def test_strengths_are_the_maximum(spark):
 
 def test_distributed_steps_agree(spark):
     df = spark.createDataFrame(planted()[:150], SCHEMA)
-    a = {r.item: r.strength for r in luce_strengths(df, outer=3, inner=2).collect()}
-    b = {r.item: r.strength for r in luce_strengths(df, outer=3, inner=2, local_pairs=0).collect()}
-    assert a == pytest.approx(b, abs=1e-9)
+    a = {r.item: r.strength for r in luce_strengths(df).collect()}
+    b = {r.item: r.strength for r in luce_strengths(df, local_pairs=0).collect()}
+    assert a == pytest.approx(b, abs=1e-7)
+    for pairs_in_memory in (0, 1000):
+        with pytest.raises(NumericError):
+            luce_strengths(df, outer=2, local_pairs=pairs_in_memory)
 
 
 def test_undefeated_and_winless_stay_finite(spark):
