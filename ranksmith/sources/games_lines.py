@@ -92,12 +92,13 @@ def parse_lines(lines: DataFrame, line: str = "raw_line") -> DataFrame:
     x = lines.withColumn(tmp, F.btrim(F.col(line), F.lit(" \t\r")))
     s = F.col(tmp)
     fields = F.split(s, "\t", -1)
-    fits = s.rlike(row_pattern())
+    # A column of its own, so that each line is matched once.
+    fits = F.col(f"{tmp}f")
+    x = x.withColumn(f"{tmp}f", s.rlike(row_pattern()))
     side1, side2 = _players(F.get(fields, F.lit(0))), _players(F.get(fields, F.lit(1)))
     threshold = _unquoted(F.get(fields, F.lit(2))).try_cast("double")
     given = F.get(fields, F.lit(3))
     count = F.when(given.isNull(), F.lit(1.0)).otherwise(_unquoted(given).try_cast("double"))
-    everyone = F.concat("side1", "side2")
     g = f"{tmp}g"
     x = x.withColumn(
         g,
@@ -106,16 +107,15 @@ def parse_lines(lines: DataFrame, line: str = "raw_line") -> DataFrame:
     in_game = lambda c: F.col(f"{g}.{c}")
     everyone = F.concat(in_game("side1"), in_game("side2"))
     n_fields = F.size(fields)
-    broken_field, reason = F.lit(None).cast("string"), F.lit(None).cast("string")
+    said = lambda field, why: F.struct(F.lit(field).cast("string").alias("f"), (why if isinstance(why, Column) else F.lit(why)).alias("r"))
+    first = said(None, F.lit(None).cast("string"))
     for f, (strict, loose) in reversed(list(zip(GAMES, prefix_patterns(), strict=True))):
         why = F.when(~s.rlike(loose), "broken quoting").otherwise("no player" if f.kind == "players" else "not a number")
-        broken_field = F.when(~s.rlike(strict), f.name).otherwise(broken_field)
-        reason = F.when(~s.rlike(strict), why).otherwise(reason)
+        first = F.when(~s.rlike(strict), said(f.name, why)).otherwise(first)
     least, most = sum(not f.optional for f in GAMES), len(GAMES)
-    structural = F.when(s.isNull(), F.struct(F.lit(None).cast("string").alias("f"), F.lit("no line").alias("r")))
-    structural = structural.when(~n_fields.between(least, most), F.struct(F.lit(None).cast("string").alias("f"), F.lit("wrong number of fields").alias("r")))
-    structural = structural.when(~fits, F.struct(broken_field.alias("f"), reason.alias("r")))
-    said = lambda field, why: F.struct(F.lit(field).alias("f"), F.lit(why).alias("r"))
+    structural = F.when(s.isNull(), said(None, "no line"))
+    structural = structural.when(~n_fields.between(least, most), said(None, "wrong number of fields"))
+    structural = structural.when(~fits, first)
     structural = structural.when(F.size(F.array_distinct(everyone)) < F.size(everyone), said("side2", "player twice"))
     structural = structural.when(~_finite(in_game("threshold")), said("threshold", "not finite"))
     structural = structural.when(~_finite(in_game("count")), said("count", "not finite"))
