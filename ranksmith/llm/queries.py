@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
 from ranksmith.llm.groups import match_groups
 from ranksmith.llm.leaks import leaked_items
@@ -26,11 +26,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_strengths(spark: SparkSession, d: str) -> DataFrame:
-    return luce_strengths(table(spark, d, "annotated_pairs"))
+    x = luce_strengths(table(spark, d, "annotated_pairs"))
+    return x.select("item", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("strength", "won", "lost")])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return stronger_than(p4_strengths(spark, d), table(spark, d, "anchor_items"))
+    return stronger_than(luce_strengths(table(spark, d, "annotated_pairs")), table(spark, d, "anchor_items"))
 
 
 def p5_consensus(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +100,21 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(length(regexp_replace(t
   round(best / len(ws), 6) AS common_share
 FROM c JOIN k USING (doc_id)"""
 
+#: The first loaded row of each vote, the sums of each ordered pair, and one virtual item that everybody wins and loses against a little.
+_VOTES = """v AS (SELECT seq, arg_min({'a': annotator, 'w': winner, 'l': loser, 'x': coalesce(weight, 1)}, loaded_at) s FROM annotated_pairs WHERE seq IS NOT NULL GROUP BY seq)"""
+_STRENGTHS = f"""WITH RECURSIVE {_VOTES}, op AS (SELECT s.w w, s.l l, sum(s.x) x FROM v WHERE s.w <> s.l AND s.x > 0 AND isfinite(s.x) GROUP BY 1, 2),
+tl AS (SELECT e, sum(w) won, sum(l) lost FROM (SELECT w e, x w, 0 l FROM op UNION ALL SELECT l, 0, x FROM op) GROUP BY e),
+ar AS MATERIALIZED (SELECT a, b, sum(ab) ab, sum(ba) ba FROM (SELECT w a, l b, x ab, 0 ba FROM op UNION ALL SELECT l, w, 0, x FROM op UNION ALL SELECT e, chr(0), 0.01, 0.01 FROM tl UNION ALL SELECT chr(0), e, 0.01, 0.01 FROM tl) GROUP BY a, b),
+it AS (SELECT 0 k, a e, 1.0::DOUBLE x FROM ar GROUP BY a UNION ALL SELECT k + 1, e, x / exp(avg(ln(x)) OVER ()) FROM (SELECT p.k, a e, sum(ab * q.x / (p.x + q.x)) / sum(ba / (p.x + q.x)) x FROM ar JOIN it p ON a = p.e JOIN it q ON b = q.e WHERE p.k < 600 GROUP BY p.k, a)),
+st AS (SELECT e item, ln(x) - avg(ln(x)) OVER () strength FROM it WHERE k = 600 AND e <> chr(0))"""
+_TOKENS = """WITH d AS (SELECT source, len(regexp_split_to_array(trim(text), '\\s+'))::DOUBLE n FROM documents WHERE text IS NOT NULL), s AS (SELECT source, sum(n) n FROM d GROUP BY source)
+SELECT t.source FROM (SELECT source, sum(target_share) share, max(max_repeats) times FROM mix_targets WHERE source IS NOT NULL GROUP BY source) t LEFT JOIN s USING (source) WHERE coalesce(n, 0) * times < share * (SELECT sum(n) FROM d)"""
+
 ORACLE: dict[str, str] = {
     "p1_found": _GROUPS,
+    "p4_strengths": _STRENGTHS + " SELECT item, round(strength, 6) + 0.0 AS strength, round(won, 6) + 0.0 AS won, round(lost, 6) + 0.0 AS lost FROM st JOIN tl ON e = item",
+    "p4_found": _STRENGTHS + " SELECT item FROM st WHERE strength > (SELECT s.strength FROM st s JOIN anchor_items a ON a.item = s.item AND a.is_yardstick)",
+    # Any common tokenizer gives the same answer: here, words.
+    "p7_found": _TOKENS,
     "p8_counts": _COUNTS,
 }
