@@ -90,11 +90,9 @@ def parse_lines(lines: DataFrame, line: str = "raw_line") -> DataFrame:
     while tmp in base:
         tmp += "_"
     x = lines.withColumn(tmp, F.btrim(F.col(line), F.lit(" \t\r")))
-    s = F.col(tmp)
-    fields = F.split(s, "\t", -1)
-    # A column of its own, so that each line is matched once.
-    fits = F.col(f"{tmp}f")
-    x = x.withColumn(f"{tmp}f", s.rlike(row_pattern()))
+    # What later steps use several times are columns of their own, so that each line is matched and split once.
+    s, fits, fields = F.col(tmp), F.col(f"{tmp}f"), F.col(f"{tmp}v")
+    x = x.withColumns({f"{tmp}f": s.rlike(row_pattern()), f"{tmp}v": F.split(s, "\t", -1)})
     side1, side2 = _players(F.get(fields, F.lit(0))), _players(F.get(fields, F.lit(1)))
     threshold = _unquoted(F.get(fields, F.lit(2))).try_cast("double")
     given = F.get(fields, F.lit(3))
@@ -123,13 +121,10 @@ def parse_lines(lines: DataFrame, line: str = "raw_line") -> DataFrame:
     bad = f"{tmp}b"
     x = x.withColumn(bad, F.when(s != "", structural).when(s.isNull(), structural))
     status = F.when(s == "", "blank").when(F.col(bad).isNotNull(), "broken").otherwise("game")
-    return x.select(
-        *[F.col(c) for c in lines.columns],
-        status.alias("status"),
-        F.when(status == "game", F.col(g)).alias("game"),
-        F.col(f"{bad}.f").alias("broken_field"),
-        F.col(f"{bad}.r").alias("reason"),
-    )
+    out = F.struct(status.alias("status"), F.when(F.col(bad).isNull() & (s != ""), F.col(g)).alias("game"), F.col(f"{bad}.f").alias("broken_field"), F.col(f"{bad}.r").alias("reason"))
+    x = x.withColumn(f"{tmp}o", out)
+    # A filter on what is found isn't pushed below a generator, where it would do all the work again.
+    return x.select(*[F.col(c) for c in lines.columns], F.explode(F.array(f"{tmp}o")).alias(f"{tmp}x")).select(*[F.col(c) for c in lines.columns], f"{tmp}x.*")
 
 
 def valid_games(lines: DataFrame, line: str = "raw_line") -> DataFrame:
