@@ -178,12 +178,13 @@ def align(item: np.ndarray, doc: np.ndarray, match: int = MATCH, mismatch: int =
     return best, x[:, 0], x[:, 1]
 
 
-def held_words(item: np.ndarray, doc: np.ndarray, rare: np.ndarray, n: int) -> int:
+def held_words(item: np.ndarray, doc: np.ndarray, rare: np.ndarray, n: int, least_words: int = 0) -> int:
     """Words of the item that the document holds in their order, in any number of aligned pieces.
 
     All words of the item from a piece's first to its last count, single misread ones among them. A piece counts if
     seven in ten of its words are equal and it has a rare n-gram for every six words, two at least; a sentence that
-    only sounds alike has none. What a piece covers is taken out of both before the next is sought.
+    only sounds alike has none. What a piece covers is taken out of both before the next is sought. As a piece has no more than six words
+    for each rare n-gram, what can still be found is known: the search ends, short, when it can't reach ``least_words`` any more.
     """
     at = np.flatnonzero(found_in(rare, keys(doc, n)))
     if not len(at):
@@ -193,7 +194,8 @@ def held_words(item: np.ndarray, doc: np.ndarray, rare: np.ndarray, n: int) -> i
     lo, hi = max(0, int(at[0]) - reach), int(at[-1]) + reach
     item, doc = item.copy(), doc[lo:hi].copy()
     covered = np.zeros(len(item), dtype=bool)
-    while True:
+    left = len(at)
+    while left >= 2 and covered.sum() + 6 * left >= least_words:
         _, i, j = align(item, doc)
         if not len(i):
             break
@@ -206,8 +208,7 @@ def held_words(item: np.ndarray, doc: np.ndarray, rare: np.ndarray, n: int) -> i
         item[i[0] : i[-1] + 1] = -1
         doc[j[0] : j[-1] + 1] = -2
         # Without two rare n-grams outside what is covered, no further piece can count.
-        if found_in(rare, np.unique(keys(np.maximum(doc, 0), n))).sum() < 2:
-            break
+        left = int(found_in(rare, keys(np.maximum(doc, 0), n)).sum())
     return int(covered.sum())
 
 
@@ -378,7 +379,7 @@ def _held_by_tasks(numbered: DataFrame, judged: DataFrame, n: int, least_words:
             got: list[tuple[int, int, int]] = []
             for p in pairs[times >= LEAST_SEEDS].tolist():
                 d, i = divmod(p, len(texts))
-                held = held_words(texts[i], flat[first[d] : last[d]], rare[i], n)
+                held = held_words(texts[i], flat[first[d] : last[d]], rare[i], n, least_words)
                 if held >= least_words:
                     got.append((d, pids[i], held))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([g[0] for g in got], pa.int64())), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int32())], ["d", "pid", "words_held"])
@@ -406,7 +407,7 @@ def _held_by_join(numbered: DataFrame, judged: DataFrame, n: int, least_words: i
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
-            held = np.array([held_words(*(np.array(x, dtype=np.int64) for x in (w, doc, rare)), n) for doc, w, rare in rows], dtype=np.int32)
+            held = np.array([held_words(*(np.array(x, dtype=np.int64) for x in (w, doc, rare)), n, least_words) for doc, w, rare in rows], dtype=np.int32)
             keep = pa.array(np.flatnonzero(held >= least_words), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(held, pa.int32()).take(keep)], ["d", "pid", "words_held"])
 
