@@ -114,12 +114,18 @@ def tail_probabilities(values: DataFrame, disk: Scratch, by: tuple[str, ...] = (
         F.sum("c").over(Window.partitionBy(*keys)).alias("n"),
     )
     inside = F.sum("c").over(Window.partitionBy("part", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    # Partitions times groups, and groups come from the data: Spark decides how to join.
-    x = ordered.withColumn("inside", inside).join(offsets, ["part", *keys])
+    # Partitions times groups: few as long as there are few languages, but languages come from the data.
+    offsets = disk.save(offsets)
+    few = offsets.count() <= BROADCAST_OFFSETS
+    x = ordered.withColumn("inside", inside).join(F.broadcast(offsets) if few else offsets, ["part", *keys])
     below = F.col("offset") + F.col("inside")
     return x.select(F.struct(*keys, value).alias("k"), "c", F.struct("n", below.alias("below"), (F.col("n") - below + F.col("c")).alias("above")).alias("tails"))
 
 
+#: Offsets of partitions' groups are broadcast up to this many (about 10 MB).
+BROADCAST_OFFSETS = 100_000
+
+
 class Quality:
     """``statistics`` and ``scores`` of documents, and which are no prose."""
 
