@@ -1,20 +1,19 @@
 """Readers of the text formats, and of saved datasets.
 
 Line formats are parsed in the JVM. ``strict`` readers raise InvalidInput with the first broken lines; with ``strict=False``
-those rows are dropped here and found by ``rejected``. Formats in which blank lines matter need line numbers: each
-file is one text split then (``wholetext`` is never used), numbered as it is read.
+those rows are dropped here and found by ``rejected``. Lines are numbered by the splits they are read in: lines are counted per split, and
+what the splits before it hold is added, so a large file is read by many tasks. ``seq`` follows the files' paths and the lines in them.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ranksmith.model import EmptyDataset, InvalidInput
+from ranksmith.session import Scratch
 from ranksmith.sources.games_lines import parse_lines
 
 #: Words for an outcome.
@@ -22,34 +21,41 @@ YES, NO = ("1", "true", "win", "yes"), ("0", "false", "loss", "lose", "no")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line_no, line``: lines of text files with their 1-based number.
+    """``file, split, line_no, seq, line``: lines of text files with their 1-based number in the file and their 0-based one in all files.
 
-    A file is read by one task, since only its beginning tells where a line stands; many files are read in parallel.
+    A file's splits are read in parallel; a split is one piece of one task, so its rows' running ids are in order. One pass counts the
+    lines of each split, and only those counts are added up in order.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    x = spark.read.option("lineSep", "\n").text(path)
+    x = x.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("_id"))
+    splits = x.groupBy("file", "split").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row for each split.
+    splits = splits.withColumn("_file", before(Window.partitionBy("file").orderBy("split"))).withColumn("_all", before(Window.orderBy("file", "split")))
+    here = F.col("_id") - F.col("_first")
+    return x.join(splits, ["file", "split"]).select("file", "split", (F.col("_file") + here + 1).alias("line_no"), (F.col("_all") + here).alias("seq"), "line")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow.fs as fs
 
-        for pdf in batches:
-            for p in pdf["path"]:
-                system, name = fs.FileSystem.from_uri(p)
-                with system.open_input_stream(name) as raw:
-                    block, n, rest = [], 0, b""
-                    while chunk := raw.read(1 << 20):
-                        *lines, rest = (rest + chunk).split(b"\n")
-                        block = [x.decode("utf-8", "replace") for x in lines]
-                        yield pd.DataFrame({"file": p, "line_no": range(n + 1, n + 1 + len(block)), "line": block})
-                        n += len(block)
-                    if rest:
-                        yield pd.DataFrame({"file": [p], "line_no": [n + 1], "line": [rest.decode("utf-8", "replace")]})
+def numbered_blocks(lines: DataFrame, blank: Column) -> DataFrame:
+    """The lines that aren't blank with ``block``, the 1-based number of their block in the file: blank lines part blocks, several of them once.
 
-    return files.select("path").mapInPandas(read, "file string, line_no long, line string")
+    Blocks are counted within the splits, and what the splits before hold is added; how a split begins is told by the last line before it.
+    """
+    split = ["file", "split"]
+    order = Window.partitionBy("file").orderBy("split")
+    x = lines.withColumn("_blank", blank)
+    last = x.groupBy(*split).agg(F.max_by("_blank", "line_no").alias("_b")).select(*split, F.lag("_b", 1, True).over(order).alias("_before"))
+    w = Window.partitionBy(*split).orderBy("line_no")
+    x = x.join(last, split).withColumn("_start", ~F.col("_blank") & F.coalesce(F.lag("_blank").over(w), "_before"))
+    x = x.withColumn("_run", F.sum(F.col("_start").cast("int")).over(w))
+    x = Scratch(lines.sparkSession, "blocks").save(x.where("NOT _blank").drop("_blank", "_before"))
+    sums = x.groupBy(*split).agg(F.sum(F.col("_start").cast("int")).alias("_n"))
+    sums = sums.select(*split, F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    return x.join(sums, split).withColumn("block", (F.col("_offset") + F.col("_run")).cast("int")).drop("_start", "_run", "_offset")
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    x = spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("seq"))
-    return x.where(F.btrim("line", F.lit(" \t\r")) != "")
+    return numbered_lines(spark, path).select("line", "seq").where(F.btrim("line", F.lit(" \t\r")) != "")
 
 
 def _fields(line: str = "line") -> Column:
@@ -76,14 +82,11 @@ def read_games(spark: SparkSession, path: str, periods: bool = False, strict: bo
     if strict and (bad := x.where("status = 'broken'").select("file", "line_no", "reason").limit(3).collect()):
         raise InvalidInput(f"broken lines: {[tuple(r) for r in bad]}")
     if periods:
-        # Runs of blank lines count once: a period is a game's number of boundaries before it, made dense.
-        w = Window.partitionBy("file").orderBy("line_no")
-        x = x.withColumn("_p", F.sum((F.col("status") == "blank").cast("int")).over(w)).where("status = 'game'")
-        x = x.withColumn("period", F.dense_rank().over(Window.partitionBy("file").orderBy("_p")))
+        x = numbered_blocks(x.where("status <> 'broken'"), F.col("status") == "blank").withColumnRenamed("block", "period")
     else:
         x = x.where("status = 'game'").withColumn("period", F.lit(1))
     g = F.col("game")
-    return x.select("file", F.col("line_no").alias("seq"), "period", g["side1"].alias("side1"), g["side2"].alias("side2"), g["threshold"].alias("margin"), g["count"].alias("weight"))
+    return x.select("file", (F.col("seq") + 1).alias("seq"), "period", g["side1"].alias("side1"), g["side2"].alias("side2"), g["threshold"].alias("margin"), g["count"].alias("weight"))
 
 
 def read_graph(spark: SparkSession, path: str, swap: bool = False, strict: bool = True) -> DataFrame:
@@ -176,12 +179,8 @@ def _vectors(x: DataFrame, names: list[str], skip: int, strict: bool) -> DataFra
 
 
 def _blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with the number of their block: blank lines part blocks, several of them once."""
     x = numbered_lines(spark, path).withColumn("s", F.btrim("line", F.lit(" \t\r")))
-    w = Window.partitionBy("file").orderBy("line_no")
-    x = x.withColumn("_b", F.sum((F.col("s") == "").cast("int")).over(w)).where(F.col("s") != "")
-    x = x.withColumn("block", F.dense_rank().over(Window.partitionBy("file").orderBy("_b")))
-    return x.withColumn("f", F.split("s", r"[ \t]+"))
+    return numbered_blocks(x, F.col("s") == "").withColumn("f", F.split("s", r"[ \t]+"))
 
 
 def read_trajectories(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:

@@ -142,3 +142,29 @@ def test_datasets_and_models_round_trip(spark, tmp_path):
     assert [r.value for r in writers.lines(Borda().fit(df)).collect()] == ["a: 2.0", "b: 0.0"]
     writers.write_text(first, f"file://{tmp_path}/t")
     assert spark.read.text(f"file://{tmp_path}/t").count() == 2
+
+
+def test_lines_are_numbered_over_files_and_splits(spark, tmp_path):
+    sizes = {"a.txt": 700, "b.txt": 3, "c.txt": 40}
+    for name, n in sizes.items():
+        (tmp_path / name).write_text("".join(f"{name}{k:05d}\n" if k % 7 else "\n" for k in range(1, n + 1)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (was, "1000b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = readers.numbered_lines(spark, str(tmp_path)).orderBy("seq").collect()
+            assert [r.seq for r in rows] == list(range(743))
+            assert [(r.file[-5:], r.line_no) for r in rows] == [(name, k) for name, n in sizes.items() for k in range(1, n + 1)]
+            assert all(r.line == (f"{r.file[-5:]}{r.line_no:05d}" if r.line_no % 7 else "") for r in rows)
+            if size != was:
+                assert len({(r.file, r.split) for r in rows}) > 5
+            blocks = readers.numbered_blocks(readers.numbered_lines(spark, str(tmp_path)), readers.F.col("line") == "").collect()
+            assert {(r.file[-5:], r.line_no, r.block) for r in blocks} == {(name, k, k // 7 + 1) for name, n in sizes.items() for k in range(1, n + 1) if k % 7}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_blank_lines_at_the_edges_part_nothing(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("\n \nA\tB\t1\n\n\n\nB\tA\t2\nC\tA\t1\n\t\n")
+    rows = readers.read_games(spark, str(tmp_path), periods=True).orderBy("seq").collect()
+    assert [(r.period, r.side1[0]) for r in rows] == [(1, "A"), (2, "B"), (2, "C")]
