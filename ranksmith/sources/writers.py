@@ -53,3 +53,9 @@ def write_jsonl(model: Model, path: str) -> None:
 def implied_pair_lines(pairs: DataFrame) -> DataFrame:
     """``value``: tab-separated winner, loser, 1, weight."""
     return pairs.select(F.concat_ws("\t", "winner", "loser", F.lit("1"), F.col("weight").cast("string")).alias("value"))
+
+
+def write_components_by(components: DataFrame, edges: DataFrame, path: str, folders: int = 100) -> None:
+    """The edges with their ``component``, in ``folders`` directories by its number: for more components than there can be directories."""
+    c = components.select(F.col("entity").alias("src"), F.col("component").cast("int").alias("component"))
+    edges.join(c, "src").withColumn("folder", F.col("component") % folders).write.mode("overwrite").partitionBy("folder").parquet(path)

@@ -43,7 +43,8 @@ def compare(spark, con, name, d):
     cols = sorted(cols)
     a, b = rows(got, cols), rows(want, cols)
     same = a == b
-    odd = "" if same else f" DIFFER {len(got)} {len(want)}\n   spark {[x for x in a if x not in set(b)][:3]}\n   sql   {[x for x in b if x not in set(a)][:3]}"
+    ina, inb = set(a), set(b)
+    odd = "" if same else f" DIFFER {len(got)} {len(want)}\n   spark {[x for x in a if x not in inb][:3]}\n   sql   {[x for x in b if x not in ina][:3]}"
     return f"{name}: {len(got)} rows, {took:.1f} s{odd}", same
 
 
