@@ -110,10 +110,38 @@ st AS (SELECT e item, ln(x) - avg(ln(x)) OVER () strength FROM it WHERE k = 600
 _TOKENS = """WITH d AS (SELECT source, len(regexp_split_to_array(trim(text), '\\s+'))::DOUBLE n FROM documents WHERE text IS NOT NULL), s AS (SELECT source, sum(n) n FROM d GROUP BY source)
 SELECT t.source FROM (SELECT source, sum(target_share) share, max(max_repeats) times FROM mix_targets WHERE source IS NOT NULL GROUP BY source) t LEFT JOIN s USING (source) WHERE coalesce(n, 0) * times < share * (SELECT sum(n) FROM d)"""
 
+
+
+def _digamma(x: str) -> str:
+    """By the recurrence eight steps up, and the asymptotic series there."""
+    y = f"({x} + 8)"
+    down = " + ".join(f"1 / ({x} + {k})" for k in range(8))
+    return f"(ln({y}) - 0.5 / {y} - (1 / 12.0::DOUBLE - (1 / 120.0::DOUBLE - (1 / 252.0::DOUBLE - 1 / 240.0::DOUBLE / ({y} * {y})) / ({y} * {y})) / ({y} * {y})) / ({y} * {y}) - ({down}))"
+
+
+def _unreliable(rounds: int, k: int = 6) -> str:
+    """The community model round by round: sums by annotator, memberships, matrices, and the pairs' chances."""
+    sums = "AS MATERIALIZED (SELECT a, said, c.p, c, q FROM c JOIN q{i} USING (p)), n{i} AS MATERIALIZED (SELECT a, sum(CASE WHEN said = 0 THEN c * (1 - q) ELSE 0 END) n00, sum(CASE WHEN said = 1 THEN c * (1 - q) ELSE 0 END) n01, sum(CASE WHEN said = 0 THEN c * q ELSE 0 END) n10, sum(CASE WHEN said = 1 THEN c * q ELSE 0 END) n11 FROM x{i} GROUP BY a)"
+    totals = "AS MATERIALIZED (SELECT m, sum(r) z, sum(r * n00) c00, sum(r * n01) c01, sum(r * n10) c10, sum(r * n11) c11 FROM {r} JOIN n{i} USING (a) GROUP BY m)"
+    member = "AS MATERIALIZED (SELECT a, m, s / sum(s) OVER (PARTITION BY a) r, e00, e01, e10, e11 FROM (SELECT *, exp(l - max(l) OVER (PARTITION BY a)) s FROM (SELECT a, m, rho + n00 * e00 + n01 * e01 + n10 * e10 + n11 * e11 l, e00, e01, e10, e11 FROM n{i} CROSS JOIN e{j})))"
+    sql = f"""WITH {_VOTES}, w AS (SELECT s.a a, least(s.w, s.l) lo, greatest(s.w, s.l) hi, s.w > s.l up FROM v WHERE s.a IS NOT NULL AND s.w <> s.l AND s.w IS NOT NULL AND s.l IS NOT NULL),
+c AS MATERIALIZED (SELECT a, p, said, count(*)::DOUBLE c FROM (SELECT a, lo || chr(1) || hi p, CASE WHEN up <> (md5(lo || chr(1) || hi) >= '8') THEN 1 ELSE 0 END said FROM w) GROUP BY ALL),
+q0 AS MATERIALIZED (SELECT p, least(greatest(sum(c * said) / sum(c), 0.05), 0.95) q FROM c GROUP BY p), x0 {sums.format(i=0)}, ce AS (SELECT m, 0.15 + 0.8 * m / {k - 1} ce FROM range({k}) t(m)),
+r0 AS MATERIALIZED (SELECT a, m, s / sum(s) OVER (PARTITION BY a) r FROM (SELECT a, m, exp(-pow((n00 + n11 + 2) / (n00 + n01 + n10 + n11 + 3) - ce, 2) / 0.02) s FROM n0, ce)), t0 {totals.format(r="r0", i=0)}"""
+    lean = {"00": 1.3, "01": 0.7, "10": 0.7, "11": 1.3}
+    e = ", ".join(f"{_digamma(f'(c{t}{j} + {lean[t + j]})')} - {_digamma(f'(c{t}0 + c{t}1 + 2)')} e{t}{j}" for t in "01" for j in "01")
+    for i in range(rounds):
+        sql += f""", e{i} AS MATERIALIZED (SELECT m, {_digamma("(z + 1)")} - {_digamma(f"((SELECT sum(z) FROM t{i}) + {k})")} rho, {e} FROM t{i}), m{i} {member.format(i=i, j=i)},
+g{i} AS (SELECT a, sum(r * (e10 - e00)) g0, sum(r * (e11 - e01)) g1 FROM m{i} GROUP BY a), q{i + 1} AS MATERIALIZED (SELECT p, 1 / (1 + exp(-sum(c * CASE WHEN said = 1 THEN g1 ELSE g0 END))) q FROM c JOIN g{i} USING (a) GROUP BY p),
+x{i + 1} {sums.format(i=i + 1)}, y{i} {member.format(i=i + 1, j=i)}, t{i + 1} {totals.format(r=f"y{i}", i=i + 1)}"""
+    return sql + f" SELECT a AS annotator FROM x{rounds} GROUP BY a HAVING sum(c) >= 20 AND 3 * sum(c * CASE WHEN q = 0.5 THEN 0.5 WHEN (q > 0.5) = (said = 1) THEN 1 ELSE 0 END) < 2 * sum(c)"
+
+
 ORACLE: dict[str, str] = {
     "p1_found": _GROUPS,
     "p4_strengths": _STRENGTHS + " SELECT item, round(strength, 6) + 0.0 AS strength, round(won, 6) + 0.0 AS won, round(lost, 6) + 0.0 AS lost FROM st JOIN tl ON e = item",
     "p4_found": _STRENGTHS + " SELECT item FROM st WHERE strength > (SELECT s.strength FROM st s JOIN anchor_items a ON a.item = s.item AND a.is_yardstick)",
+    "p5_found": _unreliable(40),
     # Any common tokenizer gives the same answer: here, words.
     "p7_found": _TOKENS,
     "p8_counts": _COUNTS,

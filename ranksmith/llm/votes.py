@@ -125,15 +125,15 @@ class CommunityModel:
     A vote is one seq with annotator, winner and loser present and winner unlike loser, whatever its weight. The matrices
     have a prior that leans to right answers, which decides between the model and its mirror image. The sums over
     votes are Spark aggregations with partial sums, so neither a hot annotator nor a hot pair burdens one task;
-    only ``communities`` times four sums come to the driver. Empty input gives empty results.
+    only ``communities`` times four sums come to the driver. Not to converge in ``rounds`` rounds is an error. Empty input gives empty results.
     """
 
-    def __init__(self, votes: DataFrame, communities: int = 6, rounds: int = 60, tolerance: float = 1e-3):
+    def __init__(self, votes: DataFrame, communities: int = 6, rounds: int = 500, tolerance: float = 1e-3):
         self.k = communities
         self.disk = disk = Scratch(votes.sparkSession, "consensus")
         x = delivered_once(votes).where("annotator IS NOT NULL AND winner IS NOT NULL AND loser IS NOT NULL AND winner <> loser")
         # Which of the two counts as the first is left to a hash: names may follow the items' quality, and then one answer would always be right.
-        turned = F.pmod(F.xxhash64(F.least("winner", "loser"), F.greatest("winner", "loser")), F.lit(2)) == 1
+        turned = _turned(F.least("winner", "loser"), F.greatest("winner", "loser"))
         said = ((F.col("winner") > F.col("loser")) != turned).cast("int")
         x = x.select("annotator", F.least("winner", "loser").alias("low"), F.greatest("winner", "loser").alias("high"), said.alias("said"))
         cells = disk.save(x.groupBy("annotator", "low", "high", "said").agg(F.count("*").alias("c")))
@@ -195,7 +195,7 @@ class CommunityModel:
         size, counts = self._totals(members)
         lean = np.array([[1.3, 0.7], [0.7, 1.3]])
         self.e = np.zeros((self.k, 2, 2))
-        last, older = None, None
+        older = None
         for _ in range(rounds):
             alpha = counts + lean
             e = _digamma(alpha) - _digamma(alpha.sum(axis=2, keepdims=True))
@@ -213,12 +213,11 @@ class CommunityModel:
                 sums = disk.save(self._sums(truth))
                 break
             old, sums = sums, disk.save(self._sums(truth))
-            last = (old, truth)
             size, counts = self._totals(self._members(sums, e, rho))
             disk.drop(older)
             older = old
         else:
-            truth = disk.save(last[1]) if last else truth
+            raise NumericError(f"not converged after {rounds} rounds")
         self.truth, self.members = truth, self._members(sums, self.e, rho)
         self.accuracy = [float((np.exp(self.e[m, 0, 0]) + np.exp(self.e[m, 1, 1])) / 2) for m in range(self.k)]
 
@@ -228,7 +227,7 @@ class CommunityModel:
         At even odds the item with the smaller name is given.
         """
         x = self.pairs.join(self.truth, "pair")
-        turned = F.pmod(F.xxhash64("low", "high"), F.lit(2)) == 1
+        turned = _turned(F.col("low"), F.col("high"))
         named = F.when(F.col("q") > 0.5, F.col("n_said")).otherwise(F.col("n") - F.col("n_said"))
         high = F.when(F.col("q") == 0.5, False).otherwise((F.col("q") > 0.5) != turned)
         # At even odds the smaller name is given: its votes are those not said, or those said if the pair is turned.
@@ -253,6 +252,10 @@ class CommunityModel:
         return self.reliability().where((F.col("n_votes") >= least_votes) & (3 * F.col("named_better") < 2 * F.col("n_votes"))).select("annotator")
 
 
+def _turned(low: Column, high: Column) -> Column:
+    return F.md5(F.concat_ws("\x01", low, high)) >= "8"
+
+
 def _digamma(x: np.ndarray) -> np.ndarray:
     """Digamma by recurrence and the asymptotic series, to about 1e-12 for positive arguments."""
     x = np.array(x, dtype=float)
