@@ -125,7 +125,7 @@ class CommunityModel:
     A vote is one seq with annotator, winner and loser present and winner unlike loser, whatever its weight. The matrices
     have a prior that leans to right answers, which decides between the model and its mirror image. The sums over
     votes are Spark aggregations with partial sums, so neither a hot annotator nor a hot pair burdens one task;
-    only ``communities`` times four sums come to the driver. Not to converge in ``rounds`` rounds is an error. Empty input gives empty results.
+    only ``communities`` times four sums come to the driver. Not to converge in ``rounds`` rounds is an error, unless ``tolerance`` is 0: then all are made. Empty input gives empty results.
     """
 
     def __init__(self, votes: DataFrame, communities: int = 6, rounds: int = 500, tolerance: float = 1e-3):
@@ -217,7 +217,9 @@ class CommunityModel:
             disk.drop(older)
             older = old
         else:
-            raise NumericError(f"not converged after {rounds} rounds")
+            if tolerance > 0:
+                raise NumericError(f"not converged after {rounds} rounds")
+            truth = disk.save(truth)
         self.truth, self.members = truth, self._members(sums, self.e, rho)
         self.accuracy = [float((np.exp(self.e[m, 0, 0]) + np.exp(self.e[m, 1, 1])) / 2) for m in range(self.k)]
 

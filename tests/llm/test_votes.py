@@ -111,9 +111,9 @@ def test_joins_instead_of_broadcasts_agree(spark, monkeypatch):
     import ranksmith.llm.votes as v
 
     df = spark.createDataFrame(planted()[:300], SCHEMA)
-    a = {(r.low, r.high): r.certainty for r in CommunityModel(df, rounds=3).consensus().collect()}
+    a = {(r.low, r.high): r.certainty for r in CommunityModel(df, rounds=3, tolerance=0).consensus().collect()}
     monkeypatch.setattr(v, "BROADCAST_ROWS", 0)
-    b = {(r.low, r.high): r.certainty for r in CommunityModel(df, rounds=3).consensus().collect()}
+    b = {(r.low, r.high): r.certainty for r in CommunityModel(df, rounds=3, tolerance=0).consensus().collect()}
     assert a == pytest.approx(b)
 
 
