@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranksmith.model import Model, NumericError
+from ranksmith.session import Scratch
 from ranksmith.operators.pairs import LOCAL_PAIRS, Cells, bounded, cells_of, clean_pairs, ordered_pairs
 
 #: What is drawn as a whole: a row, or all rows of one of these columns.
@@ -100,20 +101,46 @@ def params_of_safe(op: Any) -> dict[str, Any]:
 
 
 def ranker_solver(ranker: Any) -> Callable[[Cells], np.ndarray]:
-    """The rankers' own fits as solvers: scores in the order of the names."""
+    """Any ranker's own fit of aggregated pairs as a solver: scores in the order of the names."""
     from ranksmith.operators import spectral
 
     if isinstance(ranker, spectral.BradleyTerryMM):
         return lambda c: spectral.mm_sweeps(c.a, c.b, c.w, c.size, np.full(c.size, 1 / c.size), ranker.iterations, ranker.tolerance)[0]
-    if isinstance(ranker, spectral.Colley):
 
-        def colley(c: Cells) -> np.ndarray:
-            lap = spectral._laplacian(c.size, c.a, c.b, c.w)
-            return spectral.conjugate_gradient(lambda x: 2 * x + lap(x), 1 + (c.add(c.a, c.w) - c.add(c.b, c.w)) / 2, ranker.iterations, ranker.tolerance)
+    def solve(c: Cells) -> np.ndarray:
+        score = ranker.fit(c).table.set_index("entity")["score"]
+        return score.reindex(c.names).to_numpy(float)
 
-        return colley
-    if isinstance(ranker, spectral.Massey):
-        return lambda c: spectral.conjugate_gradient(spectral._laplacian(c.size, c.a, c.b, c.n), c.add(c.a, c.w) - c.add(c.b, c.w), ranker.iterations, ranker.tolerance, True)
-    raise NumericError(f"no solver for {type(ranker).__name__}; pass a function of the pair table")
+    return solve
 
 
+@dataclass(frozen=True)
+class RefitBootstrap:
+    """The same intervals for any ranker and dataset: each replicate is a fit of its own on resampled rows.
+
+    ``fit`` maps the data to a model with ``entity, score``; rows are resampled by ``unit`` of the dataset's ``shape`` (see ``resample``). Fits follow one
+    another, each as parallel as the ranker is; failed ones are left out, and fewer than half of them is an error.
+    """
+
+    fit_model: Callable[[DataFrame], Model]
+    shape: str
+    replicates: int = 50
+    credible: float = 0.95
+    seed: int = 26
+
+    def fit(self, data: DataFrame) -> Model:
+        disk = Scratch(data.sparkSession, "refits")
+        point = self.fit_model(data).table.select("entity", "score")
+        runs, done = None, 0
+        for k in range(self.replicates):
+            try:
+                one = disk.save(self.fit_model(resample(data, self.shape, self.seed + k)).table.select("entity", "score"))
+            except Exception:
+                continue
+            done += 1
+            runs = one if runs is None else runs.unionByName(one)
+        if runs is None or 2 * done < self.replicates:
+            raise NumericError(f"{done} of {self.replicates} refits succeeded")
+        tail = (1 - self.credible) / 2
+        x = runs.groupBy("entity").agg(F.percentile("score", F.lit(tail)).alias("lower"), F.percentile("score", F.lit(1 - tail)).alias("upper"), F.count("*").alias("n_rep"))
+        return Model("bootstrap", params_of_safe(self), point.join(x, "entity", "left"), {"succeeded": done})

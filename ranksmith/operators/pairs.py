@@ -27,6 +27,8 @@ def finite(c: Column) -> Column:
 
 def require(df: DataFrame, ok: Column, message: str) -> DataFrame:
     """``df``, which fails while it is read if a row isn't ``ok``: no pass over the data of its own."""
+    if isinstance(df, Cells):
+        return df
     return df.where(F.when(F.coalesce(ok, F.lit(False)), True).otherwise(F.raise_error(F.lit(f"InvalidInput: {message}")).cast("boolean")))
 
 
@@ -242,7 +244,9 @@ def cells_of(p: pd.DataFrame) -> Cells:
 
 
 def local_cells(pairs: DataFrame, limit: int | None = None) -> Cells:
-    """The aggregated pairs; rows themselves never leave the executors."""
+    """The aggregated pairs; rows themselves never leave the executors. ``Cells`` are taken as they are."""
+    if isinstance(pairs, Cells):
+        return pairs
     c = cells_of(bounded(ordered_pairs(clean_pairs(pairs)), LOCAL_PAIRS if limit is None else limit, "ordered pairs"))
     if not c.size:
         raise EmptyDataset("no pair with two ends")

@@ -23,7 +23,9 @@ EPS = 1e-8
 
 
 def frame(data: DataFrame, columns: dict[str, Any], schema: str) -> DataFrame:
-    """A result table from arrays."""
+    """A result table from arrays; of ``Cells`` it is one in memory."""
+    if isinstance(data, Cells):
+        return pd.DataFrame(columns)
     return data.sparkSession.createDataFrame(pd.DataFrame(columns), schema)
 
 

@@ -184,11 +184,34 @@ ORACLE["e10_lin_ucb"] = f"""WITH s AS (SELECT l_returnflag e, count(*)::DOUBLE n
   d AS (SELECT *, m11 * i11 + m12 * i12 + m13 * i13 det FROM i), h AS (SELECT *, (i11 * u1 + i12 * u2 + i13 * u3) / det h1, (i12 * u1 + i22 * u2 + i23 * u3) / det h2, (i13 * u1 + i23 * u2 + i33 * u3) / det h3 FROM d, c)
   SELECT e AS entity, round(h1 * y1 + h2 * y2 + h3 * y3 + sqrt(greatest(h1 * u1 + h2 * u2 + h3 * u3, 0)), 6) + 0.0 AS score FROM h"""
 
+#: Games within a hundred are ties. The weight of ties is settled with the new strengths of a round.
+ORACLE["a3_generalized_bt_ties"] = loop(
+    f"{_GAMES}, hv AS MATERIALIZED (SELECT n1 h, n2 v, sum(CASE WHEN m >= 100 THEN 1.0::DOUBLE ELSE 0 END) x1, sum(CASE WHEN m <= -100 THEN 1.0::DOUBLE ELSE 0 END) x2, sum(CASE WHEN abs(m) < 100 THEN 1.0::DOUBLE ELSE 0 END) x0 FROM gm GROUP BY 1, 2), ent AS (SELECT h e FROM hv UNION SELECT v FROM hv), won AS (SELECT e, sum(s) s FROM (SELECT h e, x1 + x0 / 2 s FROM hv UNION ALL SELECT v, x2 + x0 / 2 FROM hv) GROUP BY e)",
+    "SELECT e, 1.0::DOUBLE / (SELECT count(*) FROM ent) x, 0.5::DOUBLE g FROM ent",
+    """WITH d0 AS (SELECT h, v, x1 + x2 + x0 t, p.x a, q.x b, p.g, p.x + q.x + p.g * sqrt(p.x * q.x) d FROM hv JOIN it p ON h = p.e JOIN it q ON v = q.e),
+    den AS (SELECT e, sum(y) d FROM (SELECT h e, t * (1 + g * sqrt(b / a) / 2) / d y FROM d0 UNION ALL SELECT v, t * (1 + g * sqrt(a / b) / 2) / d FROM d0) GROUP BY e),
+    nw AS (SELECT e, s / d / sum(s / d) OVER () x FROM den JOIN won USING (e)), one AS (SELECT any_value(k) k, any_value(g) g FROM it)
+    SELECT one.k, e, nw.x, (SELECT sum(x0) / sum((x1 + x2 + x0) * sqrt(p.x * q.x) / (p.x + q.x + o.g * sqrt(p.x * q.x))) FROM hv JOIN nw p ON h = p.e JOIN nw q ON v = q.e CROSS JOIN one o) g FROM nw CROSS JOIN one""", 300, _LOGS, "e, x, g")
+
 # -- graphs --------------------------------------------------------------------------------------------------------------
 
 ORACLE["g7_harmonic"] = f"""WITH RECURSIVE {base.EDGE}, ar AS MATERIALIZED (SELECT DISTINCT s, d FROM ed WHERE s <> d),
   it(q, e, k) USING KEY (q, e) AS (SELECT e, e, 0 FROM nd UNION (SELECT DISTINCT f.q, d, f.k + 1 FROM it f JOIN ar ON s = f.e LEFT JOIN recurring.it r ON r.q = f.q AND r.e = d WHERE r.k IS NULL))
   SELECT e AS entity, round(sum(CASE WHEN k > 0 THEN 1.0::DOUBLE / k ELSE 0 END), 6) + 0.0 AS score FROM it GROUP BY e"""
+#: Lengths are whole numbers by the nodes' keys; the shortest sums, found by relaxing until none falls.
+ORACLE["g7_harmonic_lengths"] = """WITH RECURSIVE ar AS MATERIALIZED (SELECT a.n_name s, b.n_name d, 1.0::DOUBLE + (a.n_nationkey * 5 + b.n_nationkey) % 7 w FROM nation a JOIN nation b ON (a.n_nationkey + 1) % 25 = b.n_nationkey OR (a.n_nationkey * 7) % 25 = b.n_nationkey WHERE a.n_nationkey <> b.n_nationkey),
+  it(q, e, x) USING KEY (q, e) AS (SELECT s, s, 0.0::DOUBLE FROM (SELECT s FROM ar UNION SELECT d FROM ar) UNION (SELECT f.q, d, min(f.x + w) FROM it f JOIN ar ON s = f.e LEFT JOIN recurring.it r ON r.q = f.q AND r.e = d WHERE r.x IS NULL OR f.x + w < r.x GROUP BY f.q, d))
+  SELECT e AS entity, round(sum(CASE WHEN x > 0 THEN 1 / x ELSE 0 END), 6) + 0.0 AS score FROM it GROUP BY e"""
+#: Teleports go to the seeds, and what sinks hold goes there too.
+ORACLE["g1_page_rank_seeds"] = loop(
+    f"{base.EDGE}, sd AS MATERIALIZED (SELECT nd.e, (CASE WHEN ends_with(nd.e, '3') THEN length(nd.e) ELSE 0 END)::DOUBLE / (SELECT sum(length(e)) FROM nd WHERE ends_with(e, '3')) t, (SELECT count(*) FROM nd)::DOUBLE n FROM nd), arc AS MATERIALIZED (SELECT s, d, 1.0::DOUBLE / count(*) OVER (PARTITION BY s) p FROM ed), sk AS MATERIALIZED (SELECT e FROM nd WHERE e NOT IN (SELECT s FROM ed))",
+    "SELECT e, 1 / n x FROM sd",
+    "SELECT it.k, it.e, 0.15 * t + 0.85 * (coalesce(y, 0) + t * (SELECT coalesce(sum(x), 0) FROM it WHERE e IN (SELECT e FROM sk))) x FROM it JOIN sd ON sd.e = it.e LEFT JOIN (SELECT d e, sum(x * p) y FROM arc JOIN it ON s = e GROUP BY d) i ON i.e = it.e",
+    10, "SELECT e AS entity, round(x, 6) + 0.0 AS score FROM fin")
+_BI = "bi AS MATERIALIZED (SELECT l_suppkey s, o_custkey d, count(*)::DOUBLE w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2), f AS MATERIALIZED (SELECT s, d, w / sqrt(sum(w) OVER (PARTITION BY s) * sum(w) OVER (PARTITION BY d)) f FROM bi), pu AS (SELECT l_suppkey s, count(*)::DOUBLE / 1000 q FROM lineitem GROUP BY 1)"
+ORACLE["g5_birank_priors"] = f"""WITH {_BI}, u0 AS (SELECT s, 0.0::DOUBLE x FROM pu), """ + ", ".join(
+    f"p{k + 1} AS MATERIALIZED (SELECT d, sum(f * x) x FROM f JOIN u{k} USING (s) GROUP BY d), u{k + 1} AS MATERIALIZED (SELECT s, 0.5 * sum(f * x) + 0.5 * any_value(q) x FROM f JOIN p{k + 1} USING (d) JOIN pu USING (s) GROUP BY s)" for k in range(40)
+) + " SELECT 'src' AS side, CAST(s AS VARCHAR) AS entity, round(x, 5) + 0.0 AS score FROM u40 UNION ALL SELECT 'dst', CAST(d AS VARCHAR), round(x, 5) + 0.0 FROM p40"
 ORACLE["g8_k_core"] = loop(
     f"{base.EDGE}, bo AS MATERIALIZED (SELECT s, d FROM ed WHERE s <> d UNION SELECT d, s FROM ed WHERE s <> d)",
     "SELECT s e, count(*) x FROM bo GROUP BY s",

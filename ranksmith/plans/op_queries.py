@@ -295,6 +295,12 @@ for _name, _op, _data in (
     fitted(_name, _op, _data)
 
 
+@query("a3_generalized_bt_ties")
+def _(spark, d):
+    close = base.nation_games(spark, d).withColumn("margin", F.when(F.abs("margin") < 100, 0.0).otherwise(F.col("margin")))
+    return scores(choice.GeneralizedBt().fit(close))
+
+
 @query("a8_ilsr_rankings")
 def _(spark, d):
     return scores(spectral.ILsr().fit_rankings(base.nation_ballots(spark, d)))
@@ -400,11 +406,30 @@ def _(spark, d):
 fitted("g4_katz", graph.Katz(alpha=1e-5, iterations=10, tolerance=0), base.edges, unrolled(base.EDGE, "SELECT e, 1.0::DOUBLE x FROM nd", lambda v: f"SELECT nd.e, 1 + coalesce(y, 0) x FROM nd LEFT JOIN (SELECT d e, sum(1e-5 * w * x) y FROM ed JOIN {v} ON s = e GROUP BY d) i ON i.e = nd.e", 10, "SELECT e AS entity, round(x - 1, 8) + 0.0 AS score FROM $V"), 8)
 
 
-@query("g5_birank")
+@query("g1_page_rank_seeds")
 def _(spark, d):
+    e = base.edges(spark, d)
+    nodes = graph.Graph(e, "seeds").nodes
+    seeds = nodes.where(F.col("entity").endswith("3")).select("entity", F.length("entity").alias("weight"))
+    return scores(graph.PageRank(sink="uniform").fit(e, seeds))
+
+
+def _supply(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").cast("string").alias("src"))
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("dst"))
-    return graph.BiRank().fit(x.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("src", "dst", F.lit(1.0).alias("weight"))).table.select("side", "entity", r("score").alias("score"))
+    return x.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("src", "dst", F.lit(1.0).alias("weight"))
+
+
+@query("g5_birank_priors")
+def _(spark, d):
+    prior = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("entity")).agg((F.count("*") / 1000).alias("score"))
+    # Half of each round comes from the priors, so the start is forgotten.
+    return graph.BiRank(iterations=30, beta=0.5).fit(_supply(spark, d), src_prior=prior).table.select("side", "entity", r("score", 5).alias("score"))
+
+
+@query("g5_birank")
+def _(spark, d):
+    return graph.BiRank().fit(_supply(spark, d)).table.select("side", "entity", r("score").alias("score"))
 
 
 def _harmonic_sql(rounds: int) -> str:
@@ -419,6 +444,14 @@ def _(spark, d):
     return scores(graph.Harmonic().fit(base.edges(spark, d)))
 
 
+@query("g7_harmonic_lengths")
+def _(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("src"))
+    to = n.select(F.col("k").alias("k2"), F.col("src").alias("dst"))
+    e = n.withColumn("k2", F.explode(F.array_distinct(F.array((F.col("k") + 1) % 25, (F.col("k") * 7) % 25)))).join(to, "k2").where("k <> k2")
+    return scores(graph.Harmonic(cost="weight").fit(e.select("src", "dst", (1.0 + (F.col("k") * 5 + F.col("k2")) % 7).alias("weight"))))
+
+
 @query("g7_harmonic_sample16")
 def _(spark, d):
     return scores(graph.Harmonic(sample=16).fit(base.edges(spark, d)))
@@ -565,8 +598,11 @@ query("f10_calibration", _CALL + " SELECT CAST(b AS INTEGER) AS bin, coalesce(n,
 
 @query("f6_portfolio_kelly")
 def _(spark, d):
-    rows = [(k, float(v)) for k, v in enumerate(odds.portfolio_kelly([0.6, 0.55, 0.4], [1.0, 1.2, 2.0]))]
-    return spark.createDataFrame(rows, "bet int, stake double")
+    # One bet for each order priority: how often such orders are finished, at a price that grows with the priority.
+    o = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("p")).orderBy("o_orderpriority")
+    bets = [(x.o_orderpriority, x.p, 1.5 + 0.25 * k) for k, x in enumerate(o.collect())]
+    stakes = odds.portfolio_kelly([p for _, p, _ in bets], [b for _, _, b in bets])
+    return spark.createDataFrame([(name, float(v)) for (name, _, _), v in zip(bets, stakes, strict=True)], "bet string, stake double").select("bet", r("stake", 4).alias("stake"))
 
 
 # -- scalar functions --------------------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 import itertools
 import math
 
+import numpy as np
 import pytest
 
 from ranksmith.model import EmptyDataset, InvalidInput, NumericError, TooLarge
@@ -256,3 +257,60 @@ def test_lowerings(spark):
     rows = [("a", "b"), ("a", "b"), ("b", "c"), ("c", "d")]
     left = pairs.filter_min_count(spark.createDataFrame([(*r, 1.0) for r in rows], PAIR), 2)
     assert sorted((r.winner, r.loser) for r in left.collect()) == [("a", "b"), ("a", "b")]
+
+
+def test_warm_start_saves_sweeps(spark):
+    rng = np.random.default_rng(8)
+    skill = rng.normal(size=40)
+    def games(n):
+        a, b = rng.integers(0, 40, n), rng.integers(0, 40, n)
+        won = rng.random(n) < 1 / (1 + np.exp(skill[b] - skill[a]))
+        return [(f"e{x if w else y:02d}", f"e{y if w else x:02d}", 1.0) for x, y, w in zip(a, b, won, strict=True) if x != y]
+    old, more = games(3000), games(60)
+    frame = lambda rows: spark.createDataFrame(rows, "winner string, loser string, weight double")
+    op = spectral.BradleyTerryMM(tolerance=1e-9)
+    before = op.fit(frame(old))
+    cold, warm = op.fit(frame(old + more)), op.fit(frame(old + more), before)
+    assert warm.info["sweeps"] <= 0.75 * cold.info["sweeps"]
+    a, b = ({r.entity: r.score for r in m.table.collect()} for m in (cold, warm))
+    assert a == pytest.approx(b, abs=1e-6)
+
+
+def test_ties_are_at_the_maximum(spark):
+    rng = np.random.default_rng(4)
+    rows = [([f"p{a}"], [f"p{b}"], float(rng.choice([1, -1, 0], p=[0.5, 0.3, 0.2])), 1.0) for a in range(4) for b in range(4) if a != b for _ in range(6)]
+    games = spark.createDataFrame(rows, "side1 array<string>, side2 array<string>, margin double, weight double")
+
+    def log_likelihood(kind, s, tie, home):
+        total = 0.0
+        for (h,), (v,), m, _ in rows:
+            a, b = home * math.exp(s[h]), math.exp(s[v])
+            if kind == "davidson":
+                p = {1.0: a, -1.0: b, 0.0: tie * math.sqrt(a * b)}
+                total += math.log(p[m] / sum(p.values()))
+            else:
+                p = {1.0: a / (a + tie * b), -1.0: b / (tie * a + b)}
+                total += math.log(p[m] if m else 1 - p[1.0] - p[-1.0])
+        return total
+
+    for kind in ("davidson", "rao-kupper"):
+        m = choice.GeneralizedBt(ties=kind, home=True, tolerance=1e-12).fit(games)
+        s = {r.entity: r.score for r in m.table.collect()}
+        tie, home = m.info["tie"], m.info["home"]
+        best = log_likelihood(kind, s, tie, home)
+        for d in (1e-3, -1e-3):
+            assert log_likelihood(kind, s, tie + d, home) <= best + 1e-8 and log_likelihood(kind, s, tie, home + d) <= best + 1e-8
+            assert all(log_likelihood(kind, {**s, k: s[k] + d}, tie, home) <= best + 1e-8 for k in s)
+
+
+def test_bootstrap_of_any_ranker(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"n{min(a, b)}", f"n{max(a, b)}", 1.0) if rng.random() < 0.75 else (f"n{max(a, b)}", f"n{min(a, b)}", 1.0) for a, b in rng.integers(0, 5, (300, 2)) if a != b]
+    data = spark.createDataFrame(rows, "winner string, loser string, weight double")
+    for op in (spectral.Keener(), spectral.ILsr(), choice.ThurstoneMosteller()):
+        point = {r.entity: r.score for r in op.fit(data).table.collect()}
+        got = {r.entity: r for r in bootstrap.Bootstrap(bootstrap.ranker_solver(op), replicates=20).fit(data).table.collect()}
+        assert all(got[k].score == pytest.approx(v) and got[k].lower <= v + 0.2 and got[k].upper >= v - 0.2 and got[k].lower < got[k].upper for k, v in point.items())
+    ballots = spark.createDataFrame([(k, [f"n{x}" for x in rng.permutation(4)]) for k in range(30)], "ballot_id int, items array<string>")
+    m = bootstrap.RefitBootstrap(lambda b: counting.Borda().fit_rankings(b), "ballots", replicates=6).fit(ballots)
+    assert m.info["succeeded"] == 6 and all(r.lower < r.upper for r in m.table.collect())
