@@ -205,7 +205,7 @@ ORACLE["g7_harmonic_lengths"] = """WITH RECURSIVE ar AS MATERIALIZED (SELECT a.n
 #: Teleports go to the seeds, and what sinks hold goes there too.
 ORACLE["g1_page_rank_seeds"] = loop(
     f"{base.EDGE}, sd AS MATERIALIZED (SELECT nd.e, (CASE WHEN ends_with(nd.e, '3') THEN length(nd.e) ELSE 0 END)::DOUBLE / (SELECT sum(length(e)) FROM nd WHERE ends_with(e, '3')) t, (SELECT count(*) FROM nd)::DOUBLE n FROM nd), arc AS MATERIALIZED (SELECT s, d, 1.0::DOUBLE / count(*) OVER (PARTITION BY s) p FROM ed), sk AS MATERIALIZED (SELECT e FROM nd WHERE e NOT IN (SELECT s FROM ed))",
-    "SELECT e, 1 / n x FROM sd",
+    "SELECT e, t x FROM sd",
     "SELECT it.k, it.e, 0.15 * t + 0.85 * (coalesce(y, 0) + t * (SELECT coalesce(sum(x), 0) FROM it WHERE e IN (SELECT e FROM sk))) x FROM it JOIN sd ON sd.e = it.e LEFT JOIN (SELECT d e, sum(x * p) y FROM arc JOIN it ON s = e GROUP BY d) i ON i.e = it.e",
     10, "SELECT e AS entity, round(x, 6) + 0.0 AS score FROM fin")
 _BI = "bi AS MATERIALIZED (SELECT l_suppkey s, o_custkey d, count(*)::DOUBLE w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2), f AS MATERIALIZED (SELECT s, d, w / sqrt(sum(w) OVER (PARTITION BY s) * sum(w) OVER (PARTITION BY d)) f FROM bi), pu AS (SELECT l_suppkey s, count(*)::DOUBLE / 1000 q FROM lineitem GROUP BY 1)"
