@@ -25,8 +25,8 @@ def tree_aggregate(
     its share of states, in ``log(chunks) / log(fan_in)`` rounds.
 
     Null keys form a group of their own. Null values count as rows but not as values; a key without
-    any value has a null sum. NaN values make their key's sum NaN, as in SQL. An empty input gives no
-    rows. ``n_rows`` (a count Parquet has in its footers) only sets the number of rounds.
+    any value has a null sum. NaN values make their key's sum NaN, as in SQL. Whole and decimal numbers have exact sums of their kind. An
+    empty input gives no rows. Up to ``fan_in`` chunks there is one round. ``n_rows`` (a count Parquet has in its footers) only sets the number of rounds.
     """
     if n_rows is None:
         n_rows = rows.count()
@@ -36,7 +36,11 @@ def tree_aggregate(
     # Chunk k of partition p goes to leaf (p + k * stride): any spread does, as merging is commutative.
     leaves = max(1, -(-n_rows // (1 << chunk_rows_log2)))
     leaf = F.pmod(F.xxhash64(part, F.shiftright(index, chunk_rows_log2)), F.lit(leaves))
-    x = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).cast("double").alias("_v"), leaf.alias("_leaf"))
+    kind = dict(rows.dtypes)[value]
+    # Whole and decimal numbers are summed as what they are, so no digit is lost; all else as doubles.
+    exact = kind in ("tinyint", "smallint", "int", "bigint") or kind.startswith("decimal")
+    v = F.col(value) if exact else F.col(value).cast("double")
+    x = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], v.alias("_v"), leaf.alias("_leaf"))
     ks = [f"_k{i}" for i in range(len(keys))]
     rounds = max(1, math.ceil(math.log(leaves, fan_in) - 1e-9)) if leaves > 1 else 1
     state = None

@@ -47,6 +47,12 @@ def test_empty_and_all_null(spark):
     assert hot_nodes(nulls).count() == 0
 
 
+def test_whole_and_decimal_sums_are_exact(spark):
+    df = spark.createDataFrame([("k", (1 << 53) + 1)] * 3, "k string, v long")
+    assert tree_aggregate(df, ["k"], "v", chunk_rows_log2=1, fan_in=2).first().value_sum == 3 * ((1 << 53) + 1)
+    assert str(tree_aggregate(df.select("k", F.lit("0.1").cast("decimal(20,1)").alias("v")), ["k"], "v").first().value_sum) == "0.3"
+
+
 def test_hot_share_counts_all_rows(spark):
     rows = [(i, "a" if i < 2 else f"n{i}", None, 1.0) for i in range(200)]
     assert {tuple(r) for r in hot_nodes(spark.createDataFrame(rows, SCHEMA)).collect()} == {("src", "a")}
