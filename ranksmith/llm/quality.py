@@ -139,13 +139,12 @@ class Quality:
         """The statistics with ``outlier_score``, ``rarest`` and ``cut``: how far out in its language a document lies.
 
         For every statistic the parts of the language's documents that lie not above and not below are its two tail probabilities.
-        Their negative logarithms are added up over the statistics three ways: left tails, right tails, and
-        for each statistic the tail it is skewed to; the largest sum is the score. ``rarest`` is the smallest
-        tail probability of any statistic. Ties share their probabilities. Rounded to nine digits for that.
+        The score adds their negative logarithms up: that of the lower tail of ``prose_share``, and the mean of the rarer tails of the
+        others. ``rarest`` is the smallest tail probability of any statistic. Ties share their probabilities. Rounded to nine digits for that.
 
         ``cut`` is the score that a document of the language with less than ``prose`` of running prose has at least: the negative logarithm of
-        the part of its documents up to there. Whoever lies below has a left tail no larger than that part, and the score is no less than
-        any single tail's logarithm. So it holds for every distribution: for papers that are a third of all, or alike, or alone in their
+        the part of its documents up to there. Whoever lies below has a lower tail no larger than that part, and the other statistics only
+        add to its logarithm. So it holds for every distribution: for papers that are a third of all, or alike, or alone in their
         language. Null where no document of the language lies so low.
         """
         s = self.statistics
@@ -154,18 +153,17 @@ class Quality:
         total = s.count() * len(STATISTICS)
         tails = self.disk.save(tail_probabilities(values, self.disk))
         hot = tails.where(F.col("c") * HOT_PARTS >= max(total, HOT_PARTS)).select("k")
-        skew = values.groupBy("lang", "stat").agg(F.skewness("value").alias("skew"))
         x = values.select("row", F.struct("lang", "stat", "value").alias("k"))
         x = lookup(x, "k", tails, "k", "tails", "t", hot)
         left, right = (-F.log(F.col(f"t.{c}") / F.col("t.n")) for c in ("below", "above"))
         low = tails.where((F.col("k.stat") == "prose_share") & (F.col("k.value") <= F.lit(round(prose, 9))))
         cuts = low.groupBy(F.col("k.lang").alias("lang")).agg(F.max("tails.below").alias("b"), F.max("tails.n").alias("n"))
-        cuts = cuts.select("lang", (-F.log(F.col("b") / F.col("n"))).alias("cut"))
-        # Languages times statistics: a few dozen rows, but languages come from the data, so Spark decides how to join.
-        x = x.select("row", F.col("k.lang").alias("lang"), F.col("k.stat").alias("stat"), left.alias("l"), right.alias("r")).join(skew, ["lang", "stat"])
-        towards = F.when(F.col("skew") < 0, F.col("l")).otherwise(F.col("r"))
-        sums = x.groupBy("row").agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.sum(towards).alias("t"), F.max(F.greatest("l", "r")).alias("m"))
-        out = s.join(sums.select("row", F.greatest("l", "r", "t").alias("outlier_score"), F.exp(-F.col("m")).alias("rarest")), "row").drop("row")
+        # A row for each language, written, so that Spark knows its size and how to join it.
+        cuts = self.disk.save(cuts.select("lang", (-F.log(F.col("b") / F.col("n"))).alias("cut")))
+        x = x.select("row", F.col("k.stat").alias("stat"), left.alias("l"), right.alias("r"))
+        part = F.when(F.col("stat") == "prose_share", F.col("l")).otherwise(F.greatest("l", "r") / (len(STATISTICS) - 1))
+        sums = x.groupBy("row").agg(F.sum(part).alias("outlier_score"), F.exp(-F.max(F.greatest("l", "r"))).alias("rarest"))
+        out = s.join(sums, "row").drop("row")
         return out.join(cuts, "lang", "left").select(*out.columns, "cut")
 
     def outliers(self, prose: float = 0.5) -> DataFrame:

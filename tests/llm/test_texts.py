@@ -177,7 +177,7 @@ def test_shares_come_from_the_schedule(spark, monkeypatch):
 
 def test_every_block_has_a_slot(spark):
     d = spark.createDataFrame([(k, f"s{k % 7}" if k % 50 else "rare", "a b c d e " * 8) for k in range(700)], "doc_id long, source string, text string")
-    t = spark.createDataFrame([(f"s{k}", 0.14, 1) for k in range(7)] + [("rare", 0.02, 1)], "source string, target_share double, max_repeats int")
+    t = spark.createDataFrame([(f"s{k}", 0.12, 1) for k in range(7)] + [("rare", 0.01, 1)], "source string, target_share double, max_repeats int")
     m = mixing.Mix(d, t, block_tokens=40)
     assert [r.source for r in m.report.where("short").collect()] == []
     assert all(r.mixed_tokens >= r.needed for r in m.report.collect())
