@@ -313,13 +313,14 @@ def _(spark, d):
 
 @query("a9_mallows")
 def _(spark, d):
-    # All ballots must rank one set: each customer segment's order of all nations by revenue and month.
+    # All ballots must rank one set: each customer segment's and year's order of all nations by what they won, those without a game at nothing.
     x = base.nation_games(spark, d).select("league", "period", F.explode(F.array(F.struct(F.col("side1")[0].alias("n"), F.col("margin").alias("m")), F.struct(F.col("side2")[0].alias("n"), (-F.col("margin")).alias("m")))).alias("r"))
-    year = F.floor(F.col("period") / 12)
-    x = x.groupBy("league", year.alias("y"), "r.n").agg(F.sum("r.m").alias("m")).groupBy("league", "y").agg(F.array_sort(F.collect_list(F.struct((-F.col("m")).alias("m"), "n"))).alias("l"))
-    b = x.select(F.concat_ws("/", "league", "y").alias("ballot_id"), F.transform("l", lambda v: v["n"]).alias("items"))
-    most = b.agg(F.max(F.size("items"))).first()[0]
-    return scores(consensus.Mallows().fit(b.where(F.size("items") == most)))
+    x = x.groupBy("league", F.floor(F.col("period") / 12).alias("y"), "r.n").agg(F.sum("r.m").alias("m"))
+    x = x.groupBy("league", "y").agg(F.map_from_entries(F.collect_list(F.struct("n", "m"))).alias("won"))
+    names = [r.n_name for r in table(spark, d, "nation").select("n_name").collect()]
+    best = F.array_sort(F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.struct((-F.coalesce(F.try_element_at("won", n), F.lit(0.0))).alias("m"), n.alias("n"))))
+    b = x.select(F.concat_ws("/", "league", "y").alias("ballot_id"), F.transform(best, lambda v: v["n"]).alias("items"))
+    return scores(consensus.Mallows().fit(b))
 
 
 @query("a11_covariate_bt")
