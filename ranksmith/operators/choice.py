@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from ranksmith.functions.math import np_norm_cdf, np_norm_pdf, np_norm_ppf, np_s
 from ranksmith.model import EmptyDataset, InvalidInput, Model, NumericError, params_of
 from ranksmith.operators.pairs import LOCAL_PAIRS, bounded, clean_pairs, local_cells, require, single_players
 from ranksmith.operators.spectral import _components, frame, scored
+from ranksmith.session import Scratch
 
 
 @dataclass(frozen=True)
@@ -277,66 +281,175 @@ class EsRum:
         return Model("es-rum", params_of(self), frame(pairs, {"entity": c.names, "score": mu, "sigma": sd / top}, "entity string, score double, sigma double"), {"loss": at})
 
 
+#: A ballot of up to so many items is taken as the sets that its choices were made from, which many ballots share; a longer one stays a list.
+SHORT_BALLOT = 16
+#: Most items in all sets and lists, 4 bytes each, that are added up in one memory; more are added up by a Spark job a round.
+LOCAL_ITEMS = 10_000_000
+
+
+def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The items of all lists, each list's start and length."""
+    offsets = batch.column(0).offsets.to_numpy().astype(np.int64)
+    ids = batch.column(0).values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    return ids, offsets[:-1] - offsets[0], np.diff(offsets)
+
+
+def _remaining(batch: pa.RecordBatch, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each list the items that are kept, if there are two of them: all in a row, and how many a list has."""
+    ids, _, length = _lists(batch)
+    own = np.repeat(np.arange(len(length)), length)
+    left = np.bincount(own[keep[ids]], minlength=len(length))
+    return ids[keep[ids] & (left >= 2)[own]], left[left >= 2]
+
+
+def _places(batch: pa.RecordBatch, keep: np.ndarray) -> np.ndarray:
+    """How often each item stands above another, then how often below."""
+    ids, length = _remaining(batch, keep)
+    ends, n = np.cumsum(length), len(keep)
+    return np.concatenate([np.bincount(np.delete(ids, ends - 1), minlength=n), np.bincount(np.delete(ids, ends - length), minlength=n)]).astype(float)
+
+
+def _choice_sets(batch: pa.RecordBatch, keep: np.ndarray) -> pa.RecordBatch:
+    """``ids, list``: the items each choice was made from, sorted; or the ballot itself, if it is long."""
+    ids, length = _remaining(batch, keep)
+    starts, out, sizes, lists = np.cumsum(length) - length, [], [], []
+    for m in np.unique(length):
+        x = ids[starts[length == m][:, None] + np.arange(m)]
+        for p in range(m - 1) if m <= SHORT_BALLOT else (0,):
+            out.append((np.sort(x[:, p:], axis=1) if m <= SHORT_BALLOT else x).ravel())
+            sizes.append(np.full(len(x), m - p))
+            lists.append(np.full(len(x), m > SHORT_BALLOT))
+    flat, ends = np.concatenate([*out, np.zeros(0, int)]), np.cumsum(np.concatenate([[0], *sizes]))
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), pa.array(np.concatenate([*lists, np.zeros(0, bool)]), pa.bool_())], ["ids", "list"])
+
+
+def _choice_odds(batch: pa.RecordBatch, g: np.ndarray) -> np.ndarray:
+    """For each item, the weights of the choices from sets that hold it, over the strengths of those sets."""
+    ids, starts, length = _lists(batch)
+    is_list, w = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+    part = np.repeat(np.where(is_list, 0.0, w / np.maximum(np.add.reduceat(g[ids], starts), 1e-300)), length)
+    for k in np.flatnonzero(is_list):
+        # What is left from each place on; the last place is no choice.
+        own = slice(starts[k], starts[k] + length[k])
+        part[own] = w[k] / np.maximum(np.cumsum(g[ids[own]][::-1])[::-1], 1e-300)
+        part[own.stop - 1] = 0.0
+        part[own] = np.cumsum(part[own])
+    return np.bincount(ids, part, len(g))
+
+
+class _Batches:
+    """Lists of items as Arrow batches: in one memory up to LOCAL_ITEMS, else where they are written."""
+
+    def __init__(self, table: DataFrame, items: int):
+        self.table, self.local = table, None
+        if items <= LOCAL_ITEMS:
+            self.local = table.toArrow().combine_chunks().to_batches(max_chunksize=1 << 17)
+
+    def total(self, f, x: np.ndarray, size: int) -> np.ndarray:
+        """The sum of ``f(batch, x)`` over all batches."""
+        if self.local is not None:
+            return sum((f(b, x) for b in self.local), np.zeros(size))
+        sent = self.table.sparkSession.sparkContext.broadcast(x)
+
+        def add(batches):
+            out = np.zeros(size)
+            for b in batches:
+                out += f(b, sent.value)
+            at = np.flatnonzero(out)
+            yield pa.RecordBatch.from_pydict({"cell": at, "r": out[at]})
+
+        rows = self.table.mapInArrow(add, "cell long, r double").groupBy("cell").agg(F.sum("r").alias("r")).toArrow()
+        sent.destroy()
+        out = np.zeros(size)
+        out[rows["cell"].to_numpy()] = rows["r"].to_numpy()
+        return out
+
+    def labels(self, n: int) -> np.ndarray:
+        """Of each item, the same number as of all items that lists tie it to."""
+
+        def tied(batches):
+            label, keys, waiting = np.arange(n), [], 0
+            for b in itertools.chain(batches, [None]):
+                if b is not None:
+                    ids, starts, length = _lists(b)
+                    keys.append(np.unique(np.repeat(ids[starts], length).astype(np.int64) * n + ids))
+                    waiting += len(keys[-1])
+                if keys and (b is None or waiting > n):
+                    key = np.concatenate(keys)
+                    label, keys, waiting = _components(n, np.concatenate([np.arange(n), key // n]), np.concatenate([label, key % n])), [], 0
+            yield pa.RecordBatch.from_pydict({"item": np.arange(n)[label < np.arange(n)], "label": label[label < np.arange(n)]})
+
+        if self.local is not None:
+            rows = pa.Table.from_batches(tied(self.local))
+        else:
+            rows = self.table.mapInArrow(tied, "item long, label long").toArrow()
+        return _components(n, rows["item"].to_numpy(), rows["label"].to_numpy())
+
+
 @dataclass(frozen=True)
 class PlackettLuce:
-    """Hunter's MM over ballots, by component of co-occurrence; always-last and never-beaten items apart."""
+    """Hunter's MM over ballots, by component of co-occurrence; always-last and never-beaten items apart.
+
+    A round needs only the sets that items were chosen from, however many ballots share them.
+    """
 
     iterations: int = 10_000
     tolerance: float = 1e-9
 
     def fit(self, ballots: DataFrame, init: Model | None = None) -> Model:
+        disk = Scratch(ballots.sparkSession, "plackett-luce")
         x = ballots.where(F.size("items") >= 2)
         x = require(x, F.size(F.array_distinct("items")) == F.size("items"), "a ballot names an item twice")
-        rows = bounded(x.groupBy("items").agg(F.count("*").alias("w")), LOCAL_PAIRS, "distinct ballots")
+        x = disk.save(x.select("items"))
+        seat = x.select(F.posexplode("items").alias("p", "entity"), (F.size("items") - 1).alias("last"))
+        rows = bounded(seat.groupBy("entity").agg(F.count("*").alias("n"), F.count_if(F.col("p") < F.col("last")).alias("above"), F.count_if(F.col("p") > 0).alias("below")), LOCAL_PAIRS, "items of ballots")
         if not len(rows):
             raise EmptyDataset("no ballot of two items")
-        names = sorted({k for s in rows["items"] for k in s}, key=lambda s: s.encode())
-        at = {k: i for i, k in enumerate(names)}
-        lists = [np.array([at[k] for k in s]) for s in rows["items"]]
-        weight = rows["w"].to_numpy(float)
+        names = sorted(rows["entity"], key=lambda s: s.encode())
+        at, n = {k: i for i, k in enumerate(names)}, len(names)
+        above, below = np.zeros(n), np.zeros(n)
+        above[[at[k] for k in rows["entity"]]], below[[at[k] for k in rows["entity"]]] = rows["above"], rows["below"]
+        sent = ballots.sparkSession.sparkContext.broadcast(pa.array(names, pa.string()))
+
+        def code(batches):
+            for batch in batches:
+                lists = batch.column(0)
+                ids = pc.index_in(lists.values, value_set=sent.value.cast(lists.values.type))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(lists.offsets, ids)], ["ids"])
+
+        coded = disk.save(x.mapInArrow(code, "ids array<int>"))
+        disk.drop(x)
         apart: dict[str, list[tuple[str, float]]] = {"undefeated": [], "winless": []}
+        keep, all_ = np.ones(n, bool), None
         while True:
-            n = len(names)
-            above, below = np.zeros(n), np.zeros(n)
-            for s, w in zip(lists, weight, strict=True):
-                if len(s) >= 2:
-                    np.add.at(above, s[:-1], w)
-                    np.add.at(below, s[1:], w)
             top, last = np.flatnonzero((above > 0) & (below == 0)), np.flatnonzero((below > 0) & (above == 0))
             if not len(top) and not len(last):
                 break
             apart["undefeated"] += [(names[k], float(above[k])) for k in top]
             apart["winless"] += [(names[k], -float(below[k])) for k in last]
-            out = np.concatenate([top, last])
-            lists = [s[~np.isin(s, out)] for s in lists]
-        live = [(s, w) for s, w in zip(lists, weight, strict=True) if len(s) >= 2]
+            keep[top] = keep[last] = False
+            all_ = all_ or _Batches(coded, int(rows["n"].sum()))
+            above, below = np.split(all_.total(_places, keep, 2 * n), 2)
         rows_out: list[tuple[int, str, str, float | None]] = []
         sweeps = section = 0
-        if live:
-            flat = np.concatenate([s for s, _ in live])
-            length = np.array([len(s) for s, _ in live])
-            own = np.repeat([w for _, w in live], length)
-            ends = np.cumsum(length)
-            starts = ends - length
-            ballot = np.repeat(np.arange(len(length)), length)
-            is_last = np.zeros(len(flat), bool)
-            is_last[ends - 1] = True
-            won = np.bincount(flat[~is_last], own[~is_last], len(names))
-            label = _components(len(names), flat[~is_last], flat[np.flatnonzero(~is_last) + 1])
+        used = np.flatnonzero(above + below > 0)
+        if len(used):
+
+            def split(batches):
+                for batch in batches:
+                    yield _choice_sets(batch, keep)
+
+            sets = disk.save(coded.mapInArrow(split, "ids array<int>, list boolean").groupBy("ids", "list").agg(F.count("*").cast("double").alias("w")))
+            choices = _Batches(sets, sets.agg(F.sum(F.size("ids"))).first()[0])
+            won, label = above, choices.labels(n)
             old = {r.entity: r.score for r in init.table.where("kind = 'ranked'").collect()} if init is not None else {}
-            used = np.unique(flat)
-            g = np.zeros(len(names))
+            g = np.zeros(n)
             g[used] = [old.get(names[k], 1.0) for k in used]
             for k in range(self.iterations):
-                total = np.bincount(label, g, len(names))
+                total = np.bincount(label, g, n)
                 g = np.divide(g, total[label], out=np.zeros_like(g), where=total[label] > 0)
-                cum = np.cumsum(g[flat])
-                suffix = (cum[ends - 1])[ballot] - cum + g[flat]
-                part = np.where(is_last, 0.0, own / np.maximum(suffix, 1e-300))
-                run = np.cumsum(part)
-                upto = run - (run[starts] - part[starts])[ballot]
-                new = np.divide(won, np.bincount(flat, upto, len(names)), out=np.zeros_like(won), where=won > 0)
-                t = np.bincount(label, new, len(names))
+                new = np.divide(won, choices.total(_choice_odds, g, n), out=np.zeros_like(won), where=won > 0)
+                t = np.bincount(label, new, n)
                 new = np.divide(new, t[label], out=np.zeros_like(new), where=t[label] > 0)
                 moved = np.abs(new - g)[used].mean()
                 g, sweeps = new, k + 1

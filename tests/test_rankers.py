@@ -73,6 +73,28 @@ def test_ilsr_of_more_distinct_ballots_than_one_memory_held(spark, monkeypatch):
     close(local, {k: math.log(v) - mean for k, v in best.items()}, 1e-4)
 
 
+def test_plackett_luce_of_more_distinct_ballots_than_pairs_fit(spark, monkeypatch):
+    import itertools
+
+    # Items that are always first or last, two components, and all orders of four of five.
+    rows = [(["top", *b, "end"] if k % 2 else list(b),) for k, b in enumerate(itertools.permutations("abcde", 4)) if k % 7] + [(["x", "y"],), (["y", "x"],), (["y", "x"],)]
+    ballots = spark.createDataFrame(rows, "items array<string>")
+
+    def result(short, items):
+        monkeypatch.setattr(choice, "SHORT_BALLOT", short)
+        monkeypatch.setattr(choice, "LOCAL_ITEMS", items)
+        return {r.entity: (r.section, r.kind, r.score) for r in choice.PlackettLuce().fit(ballots).table.collect()}
+
+    monkeypatch.setattr(choice, "LOCAL_PAIRS", 10)
+    near = result(16, 10_000)
+    assert [near[k][1] for k in ("top", "end", "x")] == ["undefeated", "winless", "ranked"] and near["y"][2] == pytest.approx(2 / 3)
+    for short, items in ((2, 10_000), (3, 0)):
+        far = result(short, items)
+        assert far.keys() == near.keys()
+        for k in near:
+            assert far[k][:2] == near[k][:2] and far[k][2] == pytest.approx(near[k][2], abs=1e-9)
+
+
 def test_harmonic_of_a_graph_has_all_sources(spark, tmp_path):
     import random
 
