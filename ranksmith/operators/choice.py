@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranksmith.functions.math import np_norm_cdf, np_norm_pdf, np_norm_ppf, np_softmax
-from ranksmith.model import EmptyDataset, InvalidInput, Model, NumericError, params_of
+from ranksmith.model import EmptyDataset, InvalidInput, Model, NumericError, TooLarge, params_of
 from ranksmith.operators.pairs import LOCAL_PAIRS, bounded, clean_pairs, local_cells, require, single_players
 from ranksmith.operators.spectral import _components, frame, scored
 from ranksmith.session import Scratch
@@ -338,23 +339,23 @@ def _choice_odds(batch: pa.RecordBatch, g: np.ndarray) -> np.ndarray:
 
 
 class _Batches:
-    """Lists of items as Arrow batches: in one memory up to LOCAL_ITEMS, else where they are written."""
+    """Rows as Arrow batches: in one memory if they are few, else where they are written. ``form`` makes of a batch what is summed over."""
 
-    def __init__(self, table: DataFrame, items: int):
-        self.table, self.local = table, None
-        if items <= LOCAL_ITEMS:
-            self.local = table.toArrow().combine_chunks().to_batches(max_chunksize=1 << 17)
+    def __init__(self, table: DataFrame, near: bool, form=lambda batch: batch, rows: int = 1 << 17):
+        self.table, self.form, self.local = table, form, None
+        if near:
+            self.local = [form(b) for b in table.toArrow().combine_chunks().to_batches(max_chunksize=rows)]
 
-    def total(self, f, x: np.ndarray, size: int) -> np.ndarray:
+    def total(self, f, x: Any, size: int) -> np.ndarray:
         """The sum of ``f(batch, x)`` over all batches."""
         if self.local is not None:
             return sum((f(b, x) for b in self.local), np.zeros(size))
-        sent = self.table.sparkSession.sparkContext.broadcast(x)
+        sent, form = self.table.sparkSession.sparkContext.broadcast(x), self.form
 
         def add(batches):
             out = np.zeros(size)
             for b in batches:
-                out += f(b, sent.value)
+                out += f(form(b), sent.value)
             at = np.flatnonzero(out)
             yield pa.RecordBatch.from_pydict({"cell": at, "r": out[at]})
 
@@ -428,7 +429,7 @@ class PlackettLuce:
             apart["undefeated"] += [(names[k], float(above[k])) for k in top]
             apart["winless"] += [(names[k], -float(below[k])) for k in last]
             keep[top] = keep[last] = False
-            all_ = all_ or _Batches(coded, int(rows["n"].sum()))
+            all_ = all_ or _Batches(coded, rows["n"].sum() <= LOCAL_ITEMS)
             above, below = np.split(all_.total(_places, keep, 2 * n), 2)
         rows_out: list[tuple[int, str, str, float | None]] = []
         sweeps = section = 0
@@ -440,7 +441,7 @@ class PlackettLuce:
                     yield _choice_sets(batch, keep)
 
             sets = disk.save(coded.mapInArrow(split, "ids array<int>, list boolean").groupBy("ids", "list").agg(F.count("*").cast("double").alias("w")))
-            choices = _Batches(sets, sets.agg(F.sum(F.size("ids"))).first()[0])
+            choices = _Batches(sets, sets.agg(F.sum(F.size("ids"))).first()[0] <= LOCAL_ITEMS)
             won, label = above, choices.labels(n)
             old = {r.entity: r.score for r in init.table.where("kind = 'ranked'").collect()} if init is not None else {}
             g = np.zeros(n)
@@ -568,9 +569,43 @@ class CovariateBt:
         return m
 
 
+#: Most cells of annotator and pair (20 bytes each, and as much while they come) that CrowdBt sums over in one memory; more are summed by a Spark job a round.
+LOCAL_CELLS = 5_000_000
+
+
+def _crowd_cells(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """The runs of equal pairs, as winners, losers, starts and lengths; the annotators and weights of their cells."""
+    a, b, k, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return a[starts], b[starts], starts, np.diff(np.append(starts, len(a))), k, w
+
+
+def _crowd_weights(cells: tuple[np.ndarray, ...], m: int) -> np.ndarray:
+    return np.bincount(cells[4], cells[5], m)
+
+
+def _crowd_sums(cells: tuple[np.ndarray, ...], x: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Each annotator's weight of votes taken as meant, each item's wins, and the votes' log-likelihood."""
+    (a, b, starts, length, k, w), (g, eta) = cells, x
+    if not len(a):
+        return np.zeros(len(eta) + len(g) + 1)
+    t = np.repeat(g[a] / (g[a] + g[b]), length)
+    e = eta[k]
+    r = e * t
+    z = r + (1 - e) * (1 - t)
+    r *= w
+    r /= z
+    won, all_ = np.add.reduceat(r, starts), np.add.reduceat(w, starts)
+    return np.concatenate([np.bincount(k, r, len(eta)), np.bincount(a, won, len(g)) + np.bincount(b, all_ - won, len(g)), [w @ np.log(z)]])
+
+
 @dataclass(frozen=True)
 class CrowdBt:
-    """Bradley-Terry strengths with a reliability of each annotator (``side`` item or annotator), by expectation maximisation."""
+    """Bradley-Terry strengths with a reliability of each annotator (``side`` item or annotator), by expectation maximisation.
+
+    Votes are numbered in the tasks. Items, annotators and pairs of items come to one memory; the votes of each annotator on a pair
+    up to LOCAL_CELLS.
+    """
 
     lam: float = 0.5
     eta_prior_alpha: float = 10.0
@@ -582,36 +617,72 @@ class CrowdBt:
     def fit(self, votes: DataFrame) -> Model:
         if self.lam <= 0 or min(self.eta_prior_alpha, self.eta_prior_beta) < 1:
             raise InvalidInput("needs lam > 0 and priors of at least 1")
-        x = clean_pairs(votes).where("annotator IS NOT NULL AND weight > 0").groupBy("annotator", "winner", "loser").agg(F.sum("weight").alias("w"))
-        p = bounded(x, LOCAL_PAIRS, "cells of annotator and pair")
-        if not len(p):
+        spark = votes.sparkSession
+        disk = Scratch(spark, "crowd-bt")
+        x = clean_pairs(votes).where("annotator IS NOT NULL AND weight > 0").select("annotator", "winner", "loser", "weight")
+        said = [F.struct(F.lit(c == "annotator").alias("votes"), F.col(c).alias("e")) for c in ("annotator", "winner", "loser")]
+        known = disk.save(x.select(F.explode(F.array(*said)).alias("r")).select("r.*").distinct())
+        size = known.count()
+        if not size:
             raise EmptyDataset("no vote")
-        who, k = np.unique(p["annotator"].to_numpy(object).astype(object), return_inverse=True)
-        names, at = np.unique(np.concatenate([p["winner"], p["loser"]]).astype(object), return_inverse=True)
-        a, b, w, n, m = at[: len(p)], at[len(p) :], p["w"].to_numpy(float), len(names), len(who)
+        if size > LOCAL_PAIRS:
+            raise TooLarge(f"more than {LOCAL_PAIRS} items and annotators; this solver needs them in one memory")
+        known = known.toArrow().combine_chunks()
+        who, names = (pc.take(e, pc.sort_indices(e)) for e in (known.filter(f)["e"].combine_chunks() for f in (known["votes"], pc.invert(known["votes"]))))
+        n, m = len(names), len(who)
+        cells = disk.save(self._cells(x, who, names))
+        pairs = disk.save(cells.groupBy(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).agg(F.sum("w").alias("w")))
+        if pairs.count() > LOCAL_PAIRS:
+            raise TooLarge(f"more than {LOCAL_PAIRS} pairs of items; this solver needs them in one memory")
+        p = pairs.toArrow()
+        i, j, total = (p[c].to_numpy() for c in ("i", "j", "w"))
+        order = np.argsort(i.astype(np.int64) * n + j)
+        i, j, total = i[order], j[order].astype(np.intp), total[order]
+        first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+        lower, often = i[first], np.diff(np.append(first, len(i)))
+        cells = _Batches(cells, cells.count() <= LOCAL_CELLS, _crowd_cells, 1 << 20)
+        weight = cells.total(_crowd_weights, m, m)
         al, be = self.eta_prior_alpha, self.eta_prior_beta
         g, eta, last = np.ones(n), np.full(m, al / (al + be)), -np.inf
-        key, pair = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_inverse=True)
-        i, j, total = key // n, key % n, np.bincount(pair, w)
+        sums = cells.total(_crowd_sums, (g, eta), m + n + 1)
         for _ in range(self.iterations):
-            t = g[a] / (g[a] + g[b])
-            r = eta[k] * t / (eta[k] * t + (1 - eta[k]) * (1 - t))
-            eta = (al - 1 + np.bincount(k, w * r, m)) / (al + be - 2 + np.bincount(k, w, m))
-            wins = self.lam + np.bincount(a, w * r, n) + np.bincount(b, w * (1 - r), n)
+            eta = (al - 1 + sums[:m]) / (al + be - 2 + weight)
+            wins = self.lam + sums[m : m + n]
             # Simultaneous sweeps, with a mean-one scale for stability; the fixed point is that of one-by-one sweeps.
             for _ in range(2 * self.inner_sweeps):
-                y = total / (g[i] + g[j])
-                g = wins / (2 * self.lam / (g + 1) + np.bincount(i, y, n) + np.bincount(j, y, n))
-            t = g[a] / (g[a] + g[b])
-            ll = (w * np.log(eta[k] * t + (1 - eta[k]) * (1 - t))).sum() + self.lam * (np.log(g) - 2 * np.log1p(g)).sum()
+                y = total / (np.repeat(g[lower], often) + g[j])
+                below = np.bincount(j, y, n)
+                below[lower] += np.add.reduceat(y, first)
+                g = wins / (2 * self.lam / (g + 1) + below)
+            # The sums of the next round are at the strengths that the likelihood is of.
+            sums = cells.total(_crowd_sums, (g, eta), m + n + 1)
+            ll = sums[-1] + self.lam * (np.log(g) - 2 * np.log1p(g)).sum()
             ll += ((al - 1) * np.log(eta) + (be - 1) * np.log(np.maximum(1 - eta, 1e-300))).sum()
             if abs(ll - last) <= self.tolerance * abs(ll):
                 break
             last = ll
-        if (w * eta[k]).sum() / w.sum() < 0.5:
+        if (weight * eta).sum() / weight.sum() < 0.5:
             g, eta = 1 / g, 1 - eta
-        rows = {"side": ["item"] * n + ["annotator"] * m, "entity": [*names, *who], "score": np.concatenate([np.log(g), eta])}
-        return Model("crowd-bt", params_of(self), frame(votes, rows, "side string, entity string, score double"), {"loglik": float(ll)})
+        rows = pa.table({"side": ["item"] * n + ["annotator"] * m, "entity": pa.chunked_array([names, who]), "score": np.concatenate([np.log(g), eta])})
+        return Model("crowd-bt", params_of(self), spark.createDataFrame(rows, "side string, entity string, score double"), {"loglik": float(ll)})
+
+    @staticmethod
+    def _cells(votes: DataFrame, who: pa.Array, names: pa.Array) -> DataFrame:
+        """``a, b, k, w``: the numbers of winner, loser and annotator with summed weights, equal pairs in a row."""
+        sent = votes.sparkSession.sparkContext.broadcast((who, names))
+
+        def code(batches):
+            held: list[pa.RecordBatch] = []
+            for batch in itertools.chain(batches, [None]):
+                held += [batch] if batch is not None else []
+                # Each look-up hashes all names first, so it is one of many rows.
+                if held and (batch is None or sum(map(len, held)) > len(sent.value[0]) + len(sent.value[1])):
+                    x, held = pa.Table.from_batches(held).combine_chunks(), []
+                    ids = [pc.index_in(x[c], value_set=sent.value[c != "annotator"].cast(x[c].type)) for c in ("winner", "loser", "annotator")]
+                    yield from pa.table([*ids, x["weight"]], ["a", "b", "k", "w"]).to_batches()
+
+        coded = votes.mapInArrow(code, "a int, b int, k int, w double").repartition("a", "b")
+        return coded.groupBy("a", "b", "k").agg(F.sum("w").alias("w")).sortWithinPartitions("a", "b", "k")
 
 
 @dataclass(frozen=True)

@@ -199,6 +199,37 @@ def test_crowd_finds_the_liar(spark):
     assert s["item", "a"] > s["item", "b"] and s["annotator", "liar"] < 0.5 < s["annotator", "good"]
 
 
+def test_crowd_of_more_votes_than_pairs_fit(spark, monkeypatch):
+    import random
+
+    draw = random.Random(12)
+    votes = [(f"n{k}", *draw.sample("abcd", 2), float(draw.randint(1, 3))) for k in range(8) for _ in range(20)]
+    df = spark.createDataFrame(votes, "annotator string, winner string, loser string, weight double")
+    op = choice.CrowdBt(iterations=4)
+
+    def result():
+        m = op.fit(df)
+        return {(r.side, r.entity): r.score for r in m.table.collect()}, m.info["loglik"]
+
+    # By hand: the cells' expectations and the sweeps, vote by vote.
+    g, eta = dict.fromkeys("abcd", 1.0), {f"n{k}": 10 / 11 for k in range(8)}
+    for _ in range(op.iterations):
+        r = [(w * eta[k] * g[a] / (eta[k] * g[a] + (1 - eta[k]) * g[b])) for k, a, b, w in votes]
+        eta = {k: (9 + sum(x for x, v in zip(r, votes) if v[0] == k)) / (9 + sum(v[3] for v in votes if v[0] == k)) for k in eta}
+        wins = {e: 0.5 + sum(x for x, v in zip(r, votes) if v[1] == e) + sum(v[3] - x for x, v in zip(r, votes) if v[2] == e) for e in g}
+        for _ in range(20):
+            g = {e: wins[e] / (1 / (g[e] + 1) + sum(w / (g[a] + g[b]) for _, a, b, w in votes if e in (a, b))) for e in g}
+    monkeypatch.setattr(choice, "LOCAL_PAIRS", 12)
+    near, ll = result()
+    for e in g:
+        assert near["item", e] == pytest.approx(math.log(g[e]), abs=1e-9)
+    for k in eta:
+        assert near["annotator", k] == pytest.approx(eta[k], abs=1e-9)
+    monkeypatch.setattr(choice, "LOCAL_CELLS", 0)
+    far, same = result()
+    assert same == pytest.approx(ll) and far == pytest.approx(near, abs=1e-9)
+
+
 def test_bootstrap_covers_the_point(spark, league):
     op = bootstrap.Bootstrap(bootstrap.ranker_solver(spectral.BradleyTerryMM()), replicates=40)
     rows = op.fit(league.selectExpr("winner", "loser", "explode(sequence(1, int(weight))) i").selectExpr("winner", "loser", "1D weight")).table.collect()
