@@ -8,8 +8,9 @@ Rows of a later update come after all earlier ones, whatever their seq.
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -19,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranksmith.functions.math import np_norm_cdf
+from ranksmith.functions.math import ERF_A, ERF_P, np_norm_cdf
 from ranksmith.model import Model, params_of, same_params
 from ranksmith.operators.pairs import finite, require, single_players
 from ranksmith.session import Scratch, hot_keys, lookup
 
 State = dict[str, list[float]]
 STATE = "league string, entity string, state array<double>"
+#: A smaller normal mass than this counts as none.
+TINY = 2.222758749e-162
 
 
 class Fold:
@@ -40,6 +43,15 @@ class Fold:
     def step(self, state: State, row: dict[str, Any]) -> None:
         raise NotImplementedError
 
+    def follow(self) -> Callable[[State, Any], None]:
+        """``step`` for one of the ``rows`` of a batch."""
+        return self.step
+
+    def rows(self, payload: pa.StructArray) -> Iterable[Any]:
+        # Field by field, as Arrow makes one list of a column much faster than structs.
+        names = [f.name for f in payload.type]
+        return (dict(zip(names, p, strict=True)) for p in zip(*(c.to_pylist() for c in payload.flatten()), strict=True))
+
     def shown(self, state: DataFrame) -> DataFrame:
         return state.withColumn("score", F.col("state")[0])
 
@@ -60,12 +72,9 @@ class Fold:
         return Model(self.algorithm, params_of(self), self.shown(x.mapInArrow(self._run, STATE)))
 
     def _run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        league, state, begun = None, {}, False
+        league, state, begun, step = None, {}, False, self.follow()
         for batch in batches:
-            # Field by field, as Arrow makes one list of a column much faster than structs.
-            names = [f.name for f in batch.column(3).type]
-            rows = zip(*(c.to_pylist() for c in batch.column(3).flatten()), strict=True)
-            for g, entity, s, p in zip(*(c.to_pylist() for c in batch.columns[:3]), rows, strict=True):
+            for g, entity, s, row in zip(*(c.to_pylist() for c in batch.columns[:3]), self.rows(batch.column(3)), strict=True):
                 if not begun or g != league:
                     if state:
                         yield _rows(league, state)
@@ -73,7 +82,7 @@ class Fold:
                 if entity is not None:
                     state[entity] = list(s)
                 else:
-                    self.step(state, dict(zip(names, p, strict=True)))
+                    step(state, row)
         if state:
             yield _rows(league, state)
 
@@ -218,46 +227,111 @@ class WengLin(Fold):
         """Mean shift and variance factor of the probit variant."""
         pdf = lambda v: math.exp(-v * v / 2) / math.sqrt(2 * math.pi)
         cdf = lambda v: float(np_norm_cdf(v))
-        tiny = 2.222758749e-162
         if won:
             y = (x if won > 0 else -x) - t
             mass = cdf(y)
-            v = -y if mass <= tiny else pdf(y) / mass
+            v = -y if mass <= TINY else pdf(y) / mass
             return won * v, v * (v + y)
         mass = cdf(t - x) - cdf(-t - x)
-        if mass <= tiny:
+        if mass <= TINY:
             return (-x - t if x < 0 else -x + t), 1.0
         v = (pdf(-t - x) - pdf(t - x)) / mass
         return v, ((t - x) * pdf(t - x) + (t + x) * pdf(t + x)) / mass + v * v
 
     def step(self, state: State, row: dict[str, Any]) -> None:
-        teams = [(t["r"], [state.setdefault(p, [self.mu, self.sigma]) for p in t["p"]]) for t in row["t"]]
-        for _, players in teams:
-            for s in players:
-                s[1] = math.sqrt(s[1] ** 2 + self.tau**2)
-        sums = [(sum(s[0] for s in p), sum(s[1] ** 2 for s in p)) for _, p in teams]
-        for i, (rank, players) in enumerate(teams):
-            mu, var = sums[i]
-            omega = delta = 0.0
-            for q, (other, _) in enumerate(teams):
-                if q == i:
-                    continue
-                mu_q, var_q = sums[q]
-                c = math.sqrt(var + var_q + 2 * self.beta**2)
-                g = math.sqrt(var) / c if self.gamma == "sigma-over-c" else 1 / len(teams)
-                won = (other > rank) - (other < rank)
-                if self.variant == "bradley-terry":
-                    p = 1 / (1 + math.exp((mu_q - mu) / c))
-                    omega += var / c * ((won + 1) / 2 - p)
-                    delta += g * var / c**2 * p * (1 - p)
-                else:
-                    v, w = self._shift((mu - mu_q) / c, self.epsilon / c, won)
-                    omega += var / c * v
-                    delta += g * var / c**2 * w
-            for s in players:
-                part = s[1] ** 2 / var
-                s[0] += part * omega
-                s[1] *= math.sqrt(max(1 - part * delta, self.kappa))
+        self.follow()(state, ([t["r"] for t in row["t"]], [t["p"] for t in row["t"]]))
+
+    def rows(self, payload: pa.StructArray) -> Iterable[Any]:
+        """The ranks and the teams of each match; where all teams of a batch are of one player, the players instead."""
+        matches = payload.flatten()[0]
+        ranks, teams = matches.values.field("r"), matches.values.field("p")
+        if not len(teams) or ranks.null_count or teams.null_count:
+            return (([t["r"] for t in m], [t["p"] for t in m]) if m is not None else None for m in matches.to_pylist())
+        begin = teams.offsets.to_numpy()
+        if (np.diff(begin) == 1).all():
+            people = teams.values.slice(begin[0], begin[-1] - begin[0]).to_pylist()
+        else:
+            people = teams.to_pylist()
+        ranks, at = ranks.to_numpy().tolist(), matches.offsets.to_numpy().tolist()
+        return ((ranks[i:j], people[i:j]) for i, j in itertools.pairwise(at))
+
+    def follow(self) -> Callable[[State, Any], None]:
+        """One pass over the pairs of a match: what moves one side moves the other against it. Constants are bound once, as there are millions of pairs."""
+        exp, sqrt, shift, mean, sd, kappa, epsilon, tau = math.exp, math.sqrt, self._shift, self.mu, self.sigma, self.kappa, float(self.epsilon), self.tau
+        noise, probit, by_c, half, scale, tiny = 2 * self.beta**2, self.variant != "bradley-terry", self.gamma == "sigma-over-c", math.sqrt(0.5), 1 / math.sqrt(2 * math.pi), TINY
+        e0, (e1, e2, e3, e4, e5) = ERF_P, ERF_A
+
+        def rate(state: State, match: tuple[list[int], list[Any]]) -> None:
+            ranks, teams = match
+            n = len(ranks)
+            alone = type(teams[0]) is str
+            if alone:
+                seats = [state.get(p) or state.setdefault(p, [mean, sd]) for p in teams]
+                if tau:
+                    for s in seats:
+                        s[1] = sqrt(s[1] ** 2 + tau**2)
+                mus, vs = [s[0] for s in seats], [s[1] * s[1] for s in seats]
+            else:
+                seats = [[state.setdefault(p, [mean, sd]) for p in t] for t in teams]
+                if tau:
+                    for t in seats:
+                        for s in t:
+                            s[1] = sqrt(s[1] ** 2 + tau**2)
+                mus, vs = [sum(s[0] for s in t) for t in seats], [sum(s[1] * s[1] for s in t) for t in seats]
+            shifts, factors = [0.0] * n, [0.0] * n
+            for i in range(n - 1):
+                mu, var, rank, omega, delta = mus[i], vs[i], ranks[i], shifts[i], factors[i]
+                for q in range(i + 1, n):
+                    other = ranks[q]
+                    c = sqrt(var + vs[q] + noise)
+                    x = (mu - mus[q]) / c
+                    if not probit:
+                        v = 1.0 / (1.0 + exp(-x))
+                        w = v * (1.0 - v)
+                        v = (1.0 if other > rank else 0.0 if other < rank else 0.5) - v
+                    elif other == rank:
+                        # Far out, what the two ends of the interval leave of their difference isn't the same from both sides.
+                        v, w = shift(x, epsilon / c, 0)
+                        back, more = shift(-x, epsilon / c, 0)
+                        omega += v / c
+                        delta += w / (c * c * c if by_c else c * c)
+                        shifts[q] += back / c
+                        factors[q] += more / (c * c * c if by_c else c * c)
+                        continue
+                    else:
+                        # The normal distribution function of np_norm_cdf, and its density.
+                        y = (x if other > rank else -x) - epsilon / c
+                        if y >= 0.0:
+                            a = y * half
+                            t = 1.0 / (1.0 + e0 * a)
+                            a = exp(-a * a)
+                            mass = (1.0 + (1.0 - ((((e5 * t + e4) * t + e3) * t + e2) * t + e1) * t * a)) * 0.5
+                        else:
+                            a = -y * half
+                            t = 1.0 / (1.0 + e0 * a)
+                            a = exp(-a * a)
+                            mass = (1.0 - (1.0 - ((((e5 * t + e4) * t + e3) * t + e2) * t + e1) * t * a)) * 0.5
+                        v = -y if mass <= tiny else a * scale / mass
+                        w = v * (v + y)
+                        if other < rank:
+                            v = -v
+                    v /= c
+                    w /= c * c * c if by_c else c * c
+                    omega += v
+                    delta += w
+                    shifts[q] -= v
+                    factors[q] += w
+                shifts[i], factors[i] = omega, delta
+            for s, var, omega, delta in zip(seats, vs, shifts, factors, strict=True):
+                delta *= sqrt(var) if by_c else 1.0 / n
+                for s in (s,) if alone else s:
+                    # The player's part of the team's variance, times the variance.
+                    part = s[1] * s[1]
+                    s[0] += part * omega
+                    left = 1.0 - part * delta
+                    s[1] *= sqrt(left if left > kappa else kappa)
+
+        return rate
 
 
 @dataclass(frozen=True)
